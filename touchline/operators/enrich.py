@@ -84,9 +84,26 @@ def mirror_opposition(events: DataFrame) -> DataFrame:
     })
 
 
+#: Text and time values of a play's first or last event; the roll-up groups by
+#: them, which keeps its aggregation buffers numeric.
+PLAY_LABELS = {
+    "gameDate": ("first", "kickoff_date"),
+    "playMatch": ("first", "matchName"),
+    "firstUsPhase": ("first", "usPhase"),
+    "firstOppositionPhase": ("first", "oppositionPhase"),
+    "firstHalf": ("first", "half"),
+    "firstArea": ("first", "playArea"),
+    "firstZone": ("first", "zone"),
+    "firstPenalyIncursion": ("first", "penaltyIncursion"),
+    "lastArea": ("last", "playArea"),
+    "lastZone": ("last", "zone"),
+}
+
+
 def _play_values() -> dict[str, tuple[str, Column]]:
     """Play-level values that every event of the play carries."""
     return {
+        **{n: (how, F.col(c)) for n, (how, c) in PLAY_LABELS.items()},
         "maxSequenceNumber": ("max", F.col("sequenceNumber")),
         "isAttackIncursion": ("max", F.col("attackIncursion")),
         "numberPasses": ("sum", F.col("adjPass")),

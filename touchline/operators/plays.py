@@ -9,32 +9,34 @@ from touchline.functions.constants import (
     CROSSFIELD_METRES, HALFWAY, NOT_CARRIED_BEFORE, PLAY_KEYS,
 )
 from touchline.functions.exprs import choose, flag, one_of, strict_max, strict_sum
-from touchline.operators.enrich import PLAY_ORDER
 
-# play column <- event column, taken from the first / last event of the play
-FIRST = {
-    "age_group": "age_group", "gameDate": "kickoff_date", "playByUs": "playByUs",
-    "matchName": "matchName", "usPhase": "usPhase", "half": "half",
-    "oppositionPhase": "oppositionPhase", "firstEvent": "adjEventName",
-    "Area": "playArea", "firstPenalyIncursion": "penaltyIncursion",
-    "firstZone": "zone",
+# play column <- enriched column that is the same on every event of the play
+CONSTANT = {
+    "age_group": "age_group", "gameDate": "gameDate", "playByUs": "playByUs",
+    "matchName": "playMatch", "usPhase": "firstUsPhase", "half": "firstHalf",
+    "oppositionPhase": "firstOppositionPhase", "firstEvent": "firstEvent",
+    "lastEvent": "lastEvent", "Area": "firstArea", "lastArea": "lastArea",
+    "firstPenalyIncursion": "firstPenalyIncursion", "firstZone": "firstZone",
+    "lastZone": "lastZone",
 }
-LAST = {"lastEvent": "adjEventName", "lastArea": "playArea", "lastZone": "zone"}
 
+# Flags that may be unknown are summed strictly; the rest never are NULL.
 SUMS = {
-    "totalPasses": "adjPass", "totalBackPasses": "isBackPass",
-    "totalFwdPasses": "isFwdPass", "totalSidePasses": "isSidePass",
-    "total10mPasses": "isPass10m", "total10_20mPasses": "isPass10_20m",
-    "total20mPasses": "isPass20m", "playDuration": "duration",
+    "totalBackPasses": "isBackPass", "totalFwdPasses": "isFwdPass",
+    "totalSidePasses": "isSidePass", "total10mPasses": "isPass10m",
+    "total10_20mPasses": "isPass10_20m", "total20mPasses": "isPass20m",
     "backKeeperPasses": "isBackKeeperPass",
 }
+KNOWN_SUMS = {"totalPasses": "adjPass", "playDuration": "duration"}
 MAXES = {
-    "isAttackIncursion": "attackIncursion", "isGoal": "isGoal",
-    "isPenaltyIncursion": "penaltyIncursion",
     "backPassTurnover": "backPassTurnover", "fwdPassTurnover": "fwdPassTurnover",
     "sidePassTurnover": "sidePassTurnover", "rightAttack": "rightAttack",
     "middleAttack": "middleAttack", "leftAttack": "leftAttack",
 }
+KNOWN_MAXES = {
+    "isAttackIncursion": "attackIncursion", "isGoal": "isGoal",
+    "isPenaltyIncursion": "penaltyIncursion",
+}
 MOVES = {"MAPlay": "M-A", "AMPlay": "A-M", "MDPlay": "M-D", "DMPlay": "D-M"}
 EVENT_COUNTS = {"goals": "goal", "shots": "shot", "clearances": "clearance"}
 
@@ -62,50 +64,48 @@ PLAY_COLUMNS = [
 def roll_up_plays(enriched: DataFrame) -> DataFrame:
     """All play columns in one grouped pass.
 
-    First and last follow the play order explicitly; every aggregate combines
-    map-side, so a very long play costs one row per task in the shuffle.
+    Values of the first and last event are already on every row of the play,
+    so they group rather than aggregate.  Every aggregate combines map-side: a
+    very long play costs one row per task in the shuffle.
     """
-    place = F.struct(*PLAY_ORDER)
     area = F.col("playArea")
     ours = (F.col("playByUs") == F.col("byUs")) \
         & ~one_of(F.col("next_event"), NOT_CARRIED_BEFORE)
 
     def carried(value: str, where: Column | None = None) -> Column:
         cond = ours if where is None else ours & where
-        return strict_sum(choose(cond, F.col(value), F.lit(0.0)))
+        return choose(cond, F.col(value), F.lit(0.0))
 
-    def in_area(value: str, name: str) -> Column:
-        return strict_sum(F.when(area == name, F.col(value)).otherwise(0))
+    def in_area(name: str) -> Column:
+        return F.sum(F.when(area == name, F.col("adjPass")).otherwise(0))
 
     metres, seconds = "distanceToNextEventMetres", "duration"
     far_half = F.col("lengthMetres") >= HALFWAY
     sums = {
-        "distance": carried(metres),
-        "attackDistance": carried(metres, area == "Attack"),
-        "midfieldDistance": carried(metres, area == "Midfield"),
-        "defenceDistance": carried(metres, area == "Defence"),
-        "possessionDuration": carried(seconds),
-        "AttackDuration": carried(seconds, area == "Attack"),
-        "MidfieldDuration": carried(seconds, area == "Midfield"),
-        "DefenceDuration": carried(seconds, area == "Defence"),
-        "AttackHalfDuration": carried(seconds, far_half),
-        "DefenceHalfDuration": carried(seconds, ~far_half),
-        "attackPasses": in_area("adjPass", "Attack"),
-        "midfieldPasses": in_area("adjPass", "Midfield"),
-        "defencePasses": in_area("adjPass", "Defence"),
+        "distance": strict_sum(carried(metres)),
+        "attackDistance": strict_sum(carried(metres, area == "Attack")),
+        "midfieldDistance": strict_sum(carried(metres, area == "Midfield")),
+        "defenceDistance": strict_sum(carried(metres, area == "Defence")),
+        "possessionDuration": F.sum(carried(seconds)),
+        "AttackDuration": F.sum(carried(seconds, area == "Attack")),
+        "MidfieldDuration": F.sum(carried(seconds, area == "Midfield")),
+        "DefenceDuration": F.sum(carried(seconds, area == "Defence")),
+        "AttackHalfDuration": strict_sum(carried(seconds, far_half)),
+        "DefenceHalfDuration": strict_sum(carried(seconds, ~far_half)),
+        "attackPasses": in_area("Attack"),
+        "midfieldPasses": in_area("Midfield"),
+        "defencePasses": in_area("Defence"),
     }
     grouped = (
         enriched.filter(F.col("playNumber") != 0)
-        .groupBy(*PLAY_KEYS)
+        .groupBy(*PLAY_KEYS, *CONSTANT.values())
         .agg(
-            F.min_by(F.struct(*[F.col(c).alias(n) for n, c in FIRST.items()]),
-                     place).alias("first"),
-            F.max_by(F.struct(*[F.col(c).alias(n) for n, c in LAST.items()]),
-                     place).alias("last"),
             F.max("sequenceNumber").alias("numSequences"),
             F.max("player").alias("numPlayers"),
             *[c.alias(n) for n, c in sums.items()],
             *[strict_sum(F.col(c)).alias(n) for n, c in SUMS.items()],
+            *[F.sum(c).alias(n) for n, c in KNOWN_SUMS.items()],
+            *[F.max(c).alias(n) for n, c in KNOWN_MAXES.items()],
             *[strict_max(F.col(c)).alias(n) for n, c in MAXES.items()],
             *[F.max(flag(F.col("Movement") == m)).alias(n) for n, m in MOVES.items()],
             *[F.sum(flag(F.col("adjEventName") == e)).alias(n)
@@ -115,7 +115,7 @@ def roll_up_plays(enriched: DataFrame) -> DataFrame:
             F.coalesce(F.max("isZone14Incursion"), F.lit(0)).alias("zone14"),
             (strict_max(F.col("widthMetres")) - F.min("widthMetres")).alias("spread"),
         )
-        .select(*PLAY_KEYS, "first.*", "last.*", "*").drop("first", "last")
+        .withColumnsRenamed({c: n for n, c in CONSTANT.items() if n != c})
     )
     by_us = F.col("playByUs") == "true"
     passes = F.col("totalPasses")

@@ -8,7 +8,7 @@ from touchline.functions.constants import (
     PLAY_KEYS, PREDICTORS, TEAM_KEYS, TOP_FLIGHT,
 )
 from touchline.operators.plays import (
-    EVENT_COUNTS, FIRST, LAST, MAXES, MOVES, PLAY_COLUMNS, SUMS,
+    EVENT_COUNTS, KNOWN_MAXES, KNOWN_SUMS, MAXES, MOVES, PLAY_COLUMNS, SUMS,
 )
 from touchline.operators.profile import LENIENT, RATIOS
 from touchline.plans.oracle_events import STAGES, quoted, rounded, statement
@@ -59,6 +59,14 @@ def _carried(value: str, where: str) -> str:
     return strict(f"CASE WHEN {_OWN} AND {_WHERE[where]} THEN {value} ELSE 0 END")
 
 
+FIRST = {
+    "age_group": "age_group", "gameDate": "kickoff_date", "playByUs": "playByUs",
+    "matchName": "matchName", "usPhase": "usPhase", "half": "half",
+    "oppositionPhase": "oppositionPhase", "firstEvent": "adjEventName",
+    "Area": "playArea", "firstPenalyIncursion": "penaltyIncursion",
+    "firstZone": "zone",
+}
+LAST = {"lastEvent": "adjEventName", "lastArea": "playArea", "lastZone": "zone"}
 _AT = "ORDER BY sequenceNumber, pseudoEvent, ord"
 TABLES["rolled"] = f"""
 SELECT {', '.join(PLAY_KEYS)},
@@ -80,8 +88,8 @@ SELECT {', '.join(PLAY_KEYS)},
            for n, a in (('attackPasses', 'Attack'), ('midfieldPasses', 'Midfield'),
                         ('defencePasses', 'Defence')))},
        {', '.join(strict(src, '' if n == 'playDuration' else 'BIGINT') + f' AS {n}'
-                  for n, src in SUMS.items())},
-       {', '.join(f'max({src}) AS {n}' for n, src in MAXES.items())},
+                  for n, src in {**SUMS, **KNOWN_SUMS}.items())},
+       {', '.join(f'max({src}) AS {n}' for n, src in {**MAXES, **KNOWN_MAXES}.items())},
        {', '.join(f"max(CASE WHEN Movement = '{m}' THEN 1 ELSE 0 END) AS {n}"
                   for n, m in MOVES.items())},
        {', '.join(f"count(*) FILTER (WHERE adjEventName = '{e}') AS {n}"
