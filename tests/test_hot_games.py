@@ -42,9 +42,9 @@ def test_feed(spark, events):
 
 def test_events_plays_and_segments(spark, events):
     whole = enrich_events(sequence_events(adapt_events(events)))
-    cut = enrich_events(
-        sequence_events(adapt_events(events, CHUNK), CHUNK), PLAY_CHUNK)
-    assert "chunk" in cut.columns
+    sequenced = sequence_events(adapt_events(events, CHUNK), CHUNK)
+    assert "chunk" in sequenced.columns
+    cut = enrich_events(sequenced, PLAY_CHUNK)
     same(whole, cut)
     same(roll_up_plays(whole), roll_up_plays(cut))
     same(play_map(whole), play_map(cut, chunk_rows=PLAY_CHUNK))

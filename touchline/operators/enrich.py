@@ -164,8 +164,7 @@ def enrich_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         df = number_rows(df.drop("chunk"), PLAY_KEYS, PLAY_ORDER, out="pos",
                          total="play_rows", chunk_rows=chunk_rows)
         df = _cut_play(df, chunk_rows) if "chunk" in df.columns else _whole_play(df)
-        # Keeps marking the frame as one with oversized games.
-        df = df.drop("pos", "play_rows", "chunk").withColumn("chunk", F.lit(0))
+        df = df.drop("pos", "play_rows", "chunk")
     else:
         df = _whole_play(df)
     return _moves(df)

@@ -187,13 +187,22 @@ def heat_map_first_contacts(spark, sf):
         outcome="AttackIncursion", just_first=True))
 
 
+def _positions(spark, sf):
+    """The event columns a play map reads, staged because it reads them twice."""
+    return stage(enriched(spark, sf).select(
+        "matchName", "gameID", "playNumber", "sequenceNumber", "maxSequenceNumber",
+        "pseudoEvent", "ord", "epochTime", "playByUs", "firstEvent", "isGoal",
+        "isAttackIncursion", "lengthMetres", "widthMetres", "lengthFraction",
+        "widthFraction"))
+
+
 def play_map_segments(spark, sf):
-    return rounded(reports.play_map(enriched(spark, sf)))
+    return rounded(reports.play_map(_positions(spark, sf)))
 
 
 def play_map_attacks(spark, sf):
     return rounded(reports.play_map(
-        enriched(spark, sf), outcome="AttackIncursion", start_pct=25, end_pct=75))
+        _positions(spark, sf), outcome="AttackIncursion", start_pct=25, end_pct=75))
 
 
 def scoreboard(spark, sf):
@@ -231,7 +240,7 @@ def _possession(kind: str) -> Query:
 
 def _pick_list(column: str) -> Query:
     def query(spark, sf):
-        return reports.pick_list(enriched(spark, sf), column).select("choice", "place.*")
+        return reports.pick_list(enriched(spark, sf), column)
     return query
 
 

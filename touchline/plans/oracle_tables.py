@@ -367,10 +367,10 @@ def possession(series: list[str]) -> str:
 
 def pick_list(column: str) -> str:
     return f"""
-SELECT choice, gameID, playNumber, sequenceNumber, pseudoEvent, ord
+SELECT choice, gameID, playNumber, sequenceNumber
 FROM (SELECT {column} AS choice, *, row_number() OVER (
           PARTITION BY {column}
-          ORDER BY gameID, playNumber, sequenceNumber, pseudoEvent, ord) AS nth
+          ORDER BY gameID, playNumber, sequenceNumber) AS nth
       FROM enriched) WHERE nth = 1
 """
 

@@ -8,6 +8,7 @@ stage table they are applied to.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,16 +113,18 @@ def play_map(
     enriched: DataFrame, match: str = ALL, phase: str = "all", outcome: str = ALL,
     start_pct: float = 0, end_pct: float = 100, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Segments from each event of a play to the next one."""
+    """Segments from each event of a play to the next one.
+
+    The rows are read twice (the size of the largest play decides how), so
+    pass a staged table.
+    """
     df = by_value(by_outcome(by_phase(enriched, phase), outcome), "matchName", match)
     df = time_slice(df, start_pct, end_pct)
     # Rows outside plays are their own last row and never draw a segment.
     df = mirror_opposition(df.filter(F.col("playNumber") > 0))
     keys, order = ["gameID", "playNumber"], PLAY_ORDER
-    split = False
-    if "chunk" in df.columns:
-        df = number_rows(df.drop("chunk"), keys, order, "pos", "play_rows", chunk_rows)
-        split = "chunk" in df.columns
+    df = number_rows(df, keys, order, "pos", "play_rows", chunk_rows)
+    split = "chunk" in df.columns
     if split:
         df = with_halo(df, "pos", before=0, after=1, chunk_rows=chunk_rows)
         keys, order = [*keys, "slot"], ["pos"]
@@ -153,43 +156,37 @@ def scoreboard(enriched: DataFrame, match: str = ALL) -> DataFrame:
 # --------------------------------------------------------------------------
 def stacked(
     df: DataFrame, ids: Sequence[str], stats: Sequence[str], category: str,
-    as_share: bool,
+    as_share: bool, extra: Sequence[str] = (),
 ) -> DataFrame:
     """Metric families in long form, with labels and display order.
 
     ``as_share`` turns each bar into parts of its family, category and side;
-    families that only make sense as counts stay counts.
+    families that only make sense as counts stay counts.  Bar totals are
+    grouped sums joined back while the rows are still wide (many games can
+    share a category, and a window would sort them all in one task), so the
+    unpivot comes last and moves nothing.
     """
     wanted = [(s, c) for s in stats for c in STATS[s].labels]
-    long = df.select(*ids, *[F.col(c).cast("double") for _, c in wanted]).unpivot(
-        list(ids), [c for _, c in wanted], "Key", "Measurement")
-
-    def look_up(values: dict) -> Column:
-        pairs = [F.lit(v) for kv in values.items() for v in kv]
-        return F.element_at(F.create_map(*pairs), F.col("Key"))
-
-    long = long.select(
-        *ids,
-        look_up({c: s for s, c in wanted}).alias("stat"),
-        "Key",
-        look_up({c: STATS[s].labels[c] for s, c in wanted}).alias("label"),
-        look_up({c: list(STATS[s].labels).index(c) + 1 for s, c in wanted})
-        .alias("label_order"),
-        F.element_at(F.create_map(*[F.lit(v) for kv in SIDE.items() for v in kv]),
-                     F.col("playByUs")).alias("side"),
-        "Measurement",
-    )
-    if not as_share:
-        return long
-    # Bar totals are a grouped sum joined back: many games can share one
-    # category, and a window would sort all of them in one task.
-    bar = ["stat", category, "playByUs"]
-    totals = long.groupBy(*bar).agg(F.sum("Measurement").alias("_total"))
-    counted = [s for s in stats if STATS[s].kind == "count"]
-    part = ratio(F.col("Measurement"), F.col("_total"))
-    if counted:
-        part = F.when(F.col("stat").isin(counted), F.col("Measurement")).otherwise(part)
-    return long.join(totals, bar).withColumn("Measurement", part).drop("_total")
+    shared = [(s, c) for s, c in wanted if as_share and STATS[s].kind != "count"]
+    values = {c: F.col(c).cast("double") for _, c in wanted}
+    if shared:
+        bar = [category, "playByUs"]
+        df = df.join(df.groupBy(*bar).agg(*[
+            F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"_all_{c}")
+            for _, c in shared]), bar)
+        for stat, column in shared:
+            parts = [F.col(f"_all_{c}") for c in STATS[stat].labels]
+            values[column] = ratio(values[column], reduce(lambda a, b: a + b, parts))
+    bars = [
+        F.struct(
+            F.lit(stat).alias("stat"), F.lit(column).alias("Key"),
+            F.lit(label).alias("label"), F.lit(place).alias("label_order"),
+            values[column].alias("Measurement"))
+        for stat in stats
+        for place, (column, label) in enumerate(STATS[stat].labels.items(), 1)
+    ]
+    side = F.when(F.col("playByUs") == "true", SIDE["true"]).otherwise(SIDE["false"])
+    return df.select(*ids, *extra, side.alias("side"), F.inline(F.array(*bars)))
 
 
 def match_results(games: DataFrame) -> DataFrame:
@@ -209,10 +206,10 @@ def team_stats(
     staged table when it is large.
     """
     latest = games.groupBy("matchName").agg(F.max("gameDate").alias("match_order"))
-    rows = stacked(games, ["gameID", "matchName", "playByUs", "gameDate"], stats,
-                   "matchName", as_share)
-    return (rows.join(match_results(games), ["matchName", "gameDate"])
-            .join(latest, "matchName"))
+    placed = (games.join(match_results(games), ["matchName", "gameDate"])
+              .join(latest, "matchName"))
+    return stacked(placed, ["gameID", "matchName", "playByUs", "gameDate"], stats,
+                   "matchName", as_share, ["wld", "match_order"])
 
 
 def age_stats(
@@ -247,11 +244,18 @@ def game_possession(
 def pick_list(enriched: DataFrame, column: str) -> DataFrame:
     """Distinct choices with the place they first appear at.
 
-    Order by ``place`` ascending for opponents, descending for matches.
+    Order by the place columns, ascending for opponents and descending for
+    matches.  Play and sequence share one long, so the pass over the events is
+    a hash aggregate; only the (choice, game) rows left are compared as structs.
     """
-    place = F.struct("gameID", "playNumber", *PLAY_ORDER)
-    return enriched.groupBy(F.col(column).alias("choice")).agg(
-        F.min(place).alias("place"))
+    at = F.shiftleft(F.col("playNumber").cast("long"), 31) + F.col("sequenceNumber")
+    games = enriched.groupBy(F.col(column).alias("choice"), "gameID").agg(
+        F.min(at).alias("at"))
+    first = games.groupBy("choice").agg(F.min(F.struct("gameID", "at")).alias("p"))
+    return first.select(
+        "choice", "p.gameID",
+        F.shiftright("p.at", 31).cast("int").alias("playNumber"),
+        (F.col("p.at") % (1 << 31)).cast("int").alias("sequenceNumber"))
 
 
 def team_priority(
