@@ -88,8 +88,12 @@ def cosine_from(scaled: DataFrame, team_id: str) -> DataFrame:
 
 
 def scaled_vectors(teams: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    assembled = VectorAssembler(
-        inputCols=list(features), outputCol="raw", handleInvalid="skip").transform(teams)
+    return standardised(VectorAssembler(
+        inputCols=list(features), outputCol="raw", handleInvalid="skip").transform(teams))
+
+
+def standardised(assembled: DataFrame) -> DataFrame:
+    """Centred ``raw`` vectors over their sample deviation, as ``scaled``."""
     scaler = StandardScaler(
         inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
     return scaler.fit(assembled).transform(assembled).drop("raw")
@@ -130,19 +134,24 @@ def variable_coordinates(
 
 def individual_coordinates(scaled: DataFrame) -> DataFrame:
     """Teams on the first two components, with their display group."""
-    model = principal_components(scaled)
-    signs = _signs(model.pc.toArray())
-    at = vector_to_array("components")
     group = (
         F.when(F.col("competition") == GIRLS_16,
                F.when(F.col("playByUs") == "true", "Us").otherwise("Opposition"))
         .when(F.col("competition") == BOYS_14, "14s")
         .otherwise("Top-Flight Teams")
     )
-    return model.transform(scaled).select(
+    return on_components(scaled).select(
         "team_id", "competition", "teamName", "playByUs", group.alias("team_group"),
-        (at[0] * float(signs[0])).alias("pca_1"),
-        (at[1] * float(signs[1])).alias("pca_2"))
+        "pca_1", "pca_2")
+
+
+def on_components(scaled: DataFrame) -> DataFrame:
+    """Every row's place on the first two components."""
+    model = principal_components(scaled)
+    signs = _signs(model.pc.toArray())
+    at = vector_to_array("components")
+    return model.transform(scaled).withColumns({
+        "pca_1": at[0] * float(signs[0]), "pca_2": at[1] * float(signs[1])})
 
 
 # --------------------------------------------------------------------------

@@ -132,9 +132,9 @@ def _whole_play(df: DataFrame) -> DataFrame:
 
 def _cut_play(df: DataFrame, chunk_rows: int) -> DataFrame:
     """The same columns when some play is too large for one task."""
-    df = with_halo(df, "pos", before=0, after=1, chunk_rows=chunk_rows)
+    seen = with_halo(df, "pos", before=0, after=1, chunk_rows=chunk_rows)
     order = Window.partitionBy(*PLAY_KEYS, "slot").orderBy("pos")
-    df = at_home(df.withColumns({n: F.lead(c).over(order) for n, c in NEXT.items()}))
+    led = at_home(seen.withColumns({n: F.lead(c).over(order) for n, c in NEXT.items()}))
 
     local = {"max": F.max, "sum": F.sum,
              "first": lambda c: F.min_by(c, "pos"),
@@ -146,7 +146,7 @@ def _cut_play(df: DataFrame, chunk_rows: int) -> DataFrame:
     over = {"max": F.max, "sum": F.sum, "first": F.first, "last": F.last}
     totals = chunks.select(*PLAY_KEYS, "chunk", *[
         over[how](n).over(full).alias(n) for n, (how, _) in _play_values().items()])
-    return df.join(totals, [*PLAY_KEYS, "chunk"])
+    return led.join(totals, [*PLAY_KEYS, "chunk"])
 
 
 def enrich_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ from touchline.functions.constants import (
     SAME_PLAYER_AFTER, SAME_PLAYER_EVENTS,
 )
 from touchline.functions.exprs import flag, one_of, sure
-from touchline.operators.slices import CHUNK_ROWS, at_home, with_halo
+from touchline.operators.slices import CHUNK_ROWS, at_home, stage, with_halo
 
 # Which rule a row fell under; the order of the cascade is in `_rule`.
 OPENING = [
@@ -54,31 +54,31 @@ def _outside_box() -> Column:
     )
 
 
-def _kick_off(df: DataFrame, split: bool) -> DataFrame:
-    """Ordinal of each game's first touch of the ball, as ``kick``."""
+def _kick_offs(named: DataFrame) -> DataFrame:
+    """Ordinal of each game's first touch of the ball, one row per chunk."""
     touch = F.when(F.col("name") == "first touch", F.col("ord"))
-    if not split:
-        return df.withColumn("kick", F.min(touch).over(Window.partitionBy("gameID")))
-    starts = (
-        df.filter(F.col("slot") == F.col("chunk"))
-        .groupBy("gameID", "chunk").agg(F.min(touch).alias("kick"))
+    return (
+        named.groupBy("gameID", "chunk").agg(F.min(touch).alias("kick"))
         .select("gameID", F.col("chunk").alias("slot"),
                 F.min("kick").over(Window.partitionBy("gameID")).alias("kick"))
     )
-    return df.join(starts, ["gameID", "slot"])
 
 
 def _named(feed: DataFrame, split: bool, chunk_rows: int) -> DataFrame:
     """Rule and final name of every row (bounded look-around only)."""
     df = feed.withColumn("name", reclassified_name())
-    game = ["gameID"]
     if split:
-        df = with_halo(df, "ord", LOOK_BACK, LOOK_AHEAD, chunk_rows)
-        game = ["gameID", "slot"]
-    order = Window.partitionBy(*game).orderBy("ord")
+        seen = with_halo(df, "ord", LOOK_BACK, LOOK_AHEAD, chunk_rows)
+        df = seen.join(_kick_offs(df), ["gameID", "slot"])
+        order = Window.partitionBy("gameID", "slot").orderBy("ord")
+    else:
+        game = Window.partitionBy("gameID")
+        touch = F.when(F.col("name") == "first touch", F.col("ord"))
+        df = df.withColumn("kick", F.min(touch).over(game))
+        order = game.orderBy("ord")
     name, by = F.col("name"), F.col("byUs")
 
-    df = _kick_off(df, split).withColumns({
+    df = df.withColumns({
         "prev_name": F.lag("name").over(order),
         "next_name": F.lead("name").over(order),
         "prev_by": F.lag("byUs").over(order),
@@ -269,6 +269,9 @@ def sequence_events(feed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number plays, sequences and players; add turnover pseudo-events."""
     split = "chunk" in feed.columns
     df = _runs(_named(feed, split, chunk_rows), split)
+    if split:
+        # Read twice: for the rows and for the chunk summaries.
+        df = stage(df)
 
     run, switches = F.col("run"), F.col("switches")
     nth, steps = F.col("nth"), F.col("steps")

@@ -127,30 +127,43 @@ def with_halo(
 
 
 def at_home(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("slot") == F.col("chunk")).drop("slot")
+    """Drop the border copies.
+
+    ``slot`` takes over as ``chunk``, so the rows stay partitioned by it.
+    """
+    home = df.filter(F.col("slot") == F.col("chunk"))
+    return home.drop("chunk").withColumnRenamed("slot", "chunk")
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], ord_col: str, sums: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], ord_col: str, sums: dict[str, Column],
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Running totals inside each group, in ordinal order."""
+    """Running totals inside each group, in ordinal order.
+
+    For cut groups, ``source`` may name an earlier frame with the same rows to
+    take the chunk totals from, so that ``df`` is not worked out twice.
+    """
+    def so_far(*group: str):
+        return (Window.partitionBy(*group).orderBy(ord_col)
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
     if "chunk" not in df.columns:
-        so_far = (Window.partitionBy(*keys).orderBy(ord_col)
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumns({n: F.sum(c).over(so_far) for n, c in sums.items()})
+        return df.withColumns({
+            n: F.sum(c).over(so_far(*keys)) for n, c in sums.items()})
 
-    so_far = (Window.partitionBy(*keys, "chunk").orderBy(ord_col)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     earlier = (Window.partitionBy(*keys).orderBy("chunk")
                .rowsBetween(Window.unboundedPreceding, -1))
     carried = (
-        df.groupBy(*keys, "chunk").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        (source or df).groupBy(*keys, "chunk")
+        .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
         .select(*keys, "chunk", *[
             F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums
         ])
     )
     return (
-        df.withColumns({n: F.sum(c).over(so_far) for n, c in sums.items()})
+        df.withColumns({n: F.sum(c).over(so_far(*keys, "chunk"))
+                        for n, c in sums.items()})
         .join(carried, [*keys, "chunk"])
         .withColumns({n: F.col(n) + F.col(f"_in_{n}") for n in sums})
         .drop(*[f"_in_{n}" for n in sums])

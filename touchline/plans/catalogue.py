@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,6 +281,32 @@ def ward_steps(spark, sf):
     return rounded(cluster.ward_steps(cluster.scaled_vectors(teams(spark, sf))))
 
 
+def cluster_input(spark, sf):
+    """Complete team profiles under their display names."""
+    chosen = cluster.chosen_teams(profile.team_profile(plays(spark, sf)))
+    return cluster.display_names(rounded(chosen))
+
+
+# --- the same operators on the other tables -----------------------------------
+def line_distribution(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return rounded(reports.distribution(lines, "l_linenumber", "l_returnflag"))
+
+
+def customers_without_orders(spark, sf):
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return sources.unseen(customers.withColumnRenamed("c_custkey", "custkey"),
+                          orders.withColumnRenamed("o_custkey", "custkey"), "custkey")
+
+
+def embedding_components(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        "vec_id", "label", array_to_vector("embedding").alias("raw"))
+    return rounded(cluster.on_components(cluster.standardised(rows)).select(
+        "vec_id", "label", "pca_1", "pca_2"))
+
+
 # --- classifiers --------------------------------------------------------------
 def label_correlation(spark, sf):
     return rounded(classify.label_correlation(labelled(spark, sf)))
@@ -371,6 +398,10 @@ QUERIES: dict[str, Query] = {
     "cosine_distances": cosine_distances,
     "label_correlation": label_correlation,
     "stratified_split": stratified_split,
+    "cluster_input": cluster_input,
+    "line_distribution": line_distribution,
+    "customers_without_orders": customers_without_orders,
+    "embedding_components": embedding_components,
     "pca_variables_top20": pca_variables_top20,
     "pca_individuals": pca_individuals,
     "kmeans_teams": kmeans_teams,

@@ -532,6 +532,20 @@ ORACLE: dict[str, str] = {
 SELECT team_id, '{GIRLS_16}|Us_1|true' AS other_id,
        round(1 - sum(z * a) / (sqrt(sum(z * z)) * sqrt(sum(a * a))), 5) + 0.0 AS distance
 FROM scaled JOIN anchor USING (feature) GROUP BY team_id""", "team"),
+    "cluster_input": over(
+        f"SELECT {_TEAM_ID} AS team_id, competition, teamName, playByUs, age_group, "
+        + ", ".join(rounded(c, f'"{n}"') for c, n in CLUSTER_FEATURES.items())
+        + f" FROM team WHERE {_COMPLETE}", "team"),
+    "line_distribution": """
+SELECT l_returnflag, l_linenumber, cnt,
+       CAST(sum(cnt) OVER (PARTITION BY l_returnflag) AS BIGINT) AS max_tp,
+       round(cnt / sum(cnt) OVER (PARTITION BY l_returnflag), 6) + 0.0 AS perc
+FROM (SELECT l_returnflag, l_linenumber, count(*) AS cnt FROM lineitem GROUP BY ALL)
+""",
+    "customers_without_orders": """
+SELECT DISTINCT c_custkey AS custkey FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+""",
     "label_correlation": over(labels_correlation(), "labelled"),
     "stratified_split": over(split_statement(), "labelled"),
 }

@@ -78,11 +78,17 @@ def passing_breakdown(
     df = by_value(by_phase(plays, phase), "theirName", opponent)
     if not include_no_pass:
         df = df.filter(F.col("totalPasses") > 0)
-    # The class total is taken over the counted rows, not over the plays.
-    side = Window.partitionBy("playByUs")
+    return distribution(df, "totalPasses", "playByUs")
+
+
+def distribution(df: DataFrame, value: str, side: str) -> DataFrame:
+    """Rows per value, and their share of the side's rows.
+
+    The side total is summed over the counted rows, not over the input.
+    """
     return (
-        df.groupBy("playByUs", "totalPasses").agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("max_tp", F.sum("cnt").over(side))
+        df.groupBy(side, value).agg(F.count(F.lit(1)).alias("cnt"))
+        .withColumn("max_tp", F.sum("cnt").over(Window.partitionBy(side)))
         .withColumn("perc", ratio(F.col("cnt"), F.col("max_tp")))
     )
 

@@ -11,7 +11,7 @@ from touchline.functions.constants import (
     PITCH_LENGTH, PITCH_WIDTH, TOP_FLIGHT,
 )
 from touchline.operators.slices import (
-    CHUNK_ROWS, at_home, number_rows, running_sums, with_halo,
+    CHUNK_ROWS, at_home, number_rows, running_sums, stage, with_halo,
 )
 
 POSSESSION = [
@@ -56,14 +56,17 @@ def read_feed(
     return numbered.drop("_file", "_block", "_line", "cnt")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read a staged Parquet table, or an empty frame if it is not there yet."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, as_csv: bool = False
+) -> DataFrame:
+    """Read a stage table, or an empty frame if it is not there yet."""
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
     fs = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(location):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    source = spark.read.schema(schema)
+    return source.option("header", True).csv(path) if as_csv else source.parquet(path)
 
 
 def write_full(df: DataFrame, path: str, as_csv: bool = False) -> None:
@@ -95,10 +98,15 @@ def competition_extract(df: DataFrame, competitions: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------
 # incremental conversion
 # --------------------------------------------------------------------------
+def unseen(rows: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that the history does not have."""
+    return (rows.select(key).distinct()
+            .join(history.select(key).distinct(), key, "left_anti"))
+
+
 def unconverted_games(feed: DataFrame, history: DataFrame) -> DataFrame:
     """Distinct games in the feed that the history has never seen."""
-    return (feed.select("gameID").distinct()
-            .join(history.select("gameID").distinct(), "gameID", "left_anti"))
+    return unseen(feed, history, "gameID")
 
 
 def pending_events(feed: DataFrame, history: DataFrame) -> DataFrame:
@@ -186,12 +194,12 @@ def adapt_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "widthMetres": F.col("widthFraction") * PITCH_WIDTH,
     })
 
-    keys = ["gameID"]
+    keys, seen = ["gameID"], placed
     if split:
-        placed = with_halo(placed, "ord", before=0, after=1, chunk_rows=chunk_rows)
+        seen = with_halo(placed, "ord", before=0, after=1, chunk_rows=chunk_rows)
         keys = ["gameID", "slot"]
     step = Window.partitionBy(*keys).orderBy("ord")
-    moved = placed.withColumns({
+    moved = seen.withColumns({
         "lengthChangeMetres": F.lead("lengthMetres").over(step) - F.col("lengthMetres"),
         "_across": F.lead("widthMetres").over(step) - F.col("widthMetres"),
     })
@@ -211,5 +219,8 @@ def adapt_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     series = dict(zip(POSSESSION, [
         us, ~us, us & back, ~us & back, us & front, ~us & front]))
     timed = running_sums(moved, ["gameID"], "ord", {
-        n: F.when(c, spent).otherwise(0.0) for n, c in series.items()})
-    return timed.select(*FEED_COLUMNS, "ord", *(["chunk"] if split else []))
+        n: F.when(c, spent).otherwise(0.0) for n, c in series.items()}, source=placed)
+    if split:
+        # Later stages read a cut feed more than once.
+        return stage(timed.select(*FEED_COLUMNS, "ord", "chunk"))
+    return timed.select(*FEED_COLUMNS, "ord")
