@@ -8,12 +8,13 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from touchline.functions.exprs import (
-    choose, flag, loose_total, one_of, open_flag, ratio, share, strict_max,
-    strict_sum,
+    choose, flag, one_of, open_flag, ratio, strict_max, strict_sum,
 )
 from touchline.operators.density import density_grid
 from touchline.operators.enrich import zone
-from touchline.operators.profile import RATIOS, match_features, result_label
+from touchline.operators.profile import (
+    RATIOS, lenient, match_features, part, result_label,
+)
 from touchline.plans import catalogue, reports
 from touchline.plans.registry import STATS
 
@@ -26,9 +27,10 @@ def test_null_rules(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "x double")
     assert one(df.agg(strict_sum(F.col("x")))) is None
     assert one(df.agg(strict_max(F.col("x")))) is None
-    assert one(df.agg(loose_total(F.col("x")))) == 1.0
     none = df.filter("x is null")
-    assert one(none.agg(loose_total(F.col("x")))) == 0.0
+    gaps = spark.createDataFrame([(1.0,), (None,)], "distance double")
+    assert one(gaps.agg(lenient("distance"))) == 1.0
+    assert one(gaps.filter("distance is null").agg(lenient("distance"))) == 0.0
     assert one(none.select(flag(F.col("x") > 0))) == 0
     assert one(none.select(open_flag(F.col("x") > 0))) is None
     assert one(none.select(choose(F.col("x") > 0, F.lit(1), F.lit(0)))) is None
@@ -40,8 +42,7 @@ def test_division_rules(spark):
     df = spark.createDataFrame([(0.0, 0.0), (2.0, 0.0), (1.0, 4.0)], "a double, b double")
     assert [r[0] for r in df.select(ratio(F.col("a"), F.col("b"))).collect()] \
         == [None, None, 0.25]
-    assert [r[0] for r in df.select(share(F.col("a"), F.col("b"))).collect()] \
-        == [0.0, None, 0.25]
+    assert [r[0] for r in df.selectExpr(part("a", "b")).collect()] == [None, None, 0.25]
 
 
 @pytest.mark.parametrize("goals,total,label", [

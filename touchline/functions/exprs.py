@@ -47,22 +47,6 @@ def strict_max(col: Column) -> Column:
     return F.when(F.count(col) == F.count(F.lit(1)), F.max(col))
 
 
-def loose_sum(col: Column) -> Column:
-    """Sum that skips NULLs and is 0 when there is nothing to add."""
-    total = F.sum(col)
-    return F.coalesce(total, F.lit(0).cast("long"))
-
-
-def loose_total(col: Column) -> Column:
-    """``loose_sum`` for doubles."""
-    return F.coalesce(F.sum(col), F.lit(0.0))
-
-
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that is NULL, not an error, for a zero denominator."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))
-
-
-def share(value: Column, total: Column) -> Column:
-    """Share of a total with the zero guard: zero stays zero."""
-    return F.when(value == 0, F.lit(0.0)).otherwise(ratio(value, total))

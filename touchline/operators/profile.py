@@ -12,9 +12,7 @@ from touchline.functions.constants import (
     FEATURE_KEYS, MATCH_DERIVED, MATCH_SUMS, MATCH_TEAM_KEYS, ODD_COMPETITION,
     PREDICTORS, TEAM_KEYS,
 )
-from touchline.functions.exprs import (
-    flag, loose_sum, loose_total, ratio, share, strict_sum,
-)
+from touchline.functions.exprs import flag, ratio
 
 # Ratio columns of a profile: name -> (numerator, denominator parts).  The
 # denominator is the sum of the named totals; the name is built from the
@@ -53,9 +51,22 @@ LENIENT = [
 ]
 _NAMED_TOTALS = {"gameDuration": "possessionDuration", "gameDistance": "distance"}
 PROFILE_RATIOS = [*RATIOS, "passPlay_pcnt"]
+# Distances and durations are doubles; every other summed column is an integer.
+_DOUBLES = ("distance", "duration")
 _TOTALS = ["gameDuration", "gameDistance", "plays", "goals", "shots", "totalPasses"]
 
 
+def part(top: str, whole: str) -> str:
+    """Division that is NULL for a zero denominator, as SQL text."""
+    return f"try_divide(CAST({top} AS DOUBLE), CAST({whole} AS DOUBLE))"
+
+
+def lenient(column: str) -> Column:
+    """Sum that skips NULLs and is 0 when there is nothing to add."""
+    zero = "0D" if column.lower().endswith(_DOUBLES) else "0L"
+    return F.expr(f"coalesce(sum({column}), {zero})")
+
+
 def team_profiles(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Totals, rates and ratio columns of the plays of each key.
 
@@ -72,9 +83,8 @@ def team_profiles(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def total(column: str) -> Column:
         if column in LENIENT:
-            distance = column.lower().endswith("distance")
-            return (loose_total if distance else loose_sum)(F.col(column))
-        return strict_sum(F.col(column))
+            return lenient(column)
+        return F.expr(f"CASE WHEN count({column}) = count(1) THEN sum({column}) END")
 
     inner = list(dict.fromkeys([*keys, "gameID", *names]))
     by_name = plays.groupBy(*inner).agg(
@@ -86,19 +96,13 @@ def team_profiles(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
         *[total(c).alias(c) for c in needed],
     ).withColumnsRenamed({src: n for n, src in _NAMED_TOTALS.items()})
 
-    def added(parts: list[str]) -> Column:
-        out = F.col(parts[0])
-        for part in parts[1:]:
-            out = out + F.col(part)
-        return out
-
-    return sums.select(
+    return sums.selectExpr(
         *keys, "gameDate", "theirName", "matchName", *_TOTALS,
-        ratio(F.col("totalPasses"), F.col("gameDuration") / 60).alias("ppm"),
-        ratio(F.col("gameDistance"), F.col("gameDuration")).alias("aveVelocity"),
-        *[ratio(F.col(top), added(parts)).alias(n)
-          for n, (top, parts) in RATIOS.items()],
-    ).withColumn("passPlay_pcnt", 1 - F.col("passZero_pcnt"))
+        f"{part('totalPasses', 'gameDuration / 60')} AS ppm",
+        f"{part('gameDistance', 'gameDuration')} AS aveVelocity",
+        *[f"{part(top, ' + '.join(parts))} AS {n}" for n, (top, parts) in RATIOS.items()],
+        f"1 - {part('passZero', 'plays')} AS passPlay_pcnt",
+    )
 
 
 def result_label(goals: Column, total: Column) -> Column:
@@ -139,17 +143,13 @@ def numeric_columns(df: DataFrame, without: Sequence[str]) -> list[str]:
 
 def numeric_totals(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-skipping sums of all numeric columns, plus pass and ball rates."""
-    sums = [
-        (loose_total if isinstance(plays.schema[c].dataType, T.DoubleType)
-         else loose_sum)(F.col(c)).alias(c)
-        for c in numeric_columns(plays, keys)
-    ]
+    sums = [lenient(c).alias(c) for c in numeric_columns(plays, keys)]
 
     def per_minute(passes: str, seconds: str) -> Column:
-        return ratio(F.col(passes), F.col(seconds) / 60)
+        return F.expr(part(passes, f"{seconds} / 60"))
 
     def velocity(metres: str, seconds: str) -> Column:
-        return ratio(F.col(metres), F.col(seconds))
+        return F.expr(part(metres, seconds))
 
     return plays.groupBy(*keys).agg(*sums).withColumns({
         "ppm": per_minute("totalPasses", "possessionDuration"),
@@ -179,13 +179,10 @@ def game_totals(plays: DataFrame) -> DataFrame:
 def match_sums(plays: DataFrame) -> DataFrame:
     """One row per team and match: named sums and four derived columns."""
     dated = plays.withColumn("gameDate", F.date_format("gameDate", "yyyy-MM-dd"))
-    sums = [
-        (loose_total if isinstance(plays.schema[c].dataType, T.DoubleType)
-         else loose_sum)(F.col(c)).alias(c) for c in MATCH_SUMS
-    ]
+    sums = [lenient(c).alias(c) for c in MATCH_SUMS]
     return dated.groupBy(*FEATURE_KEYS).agg(*sums).withColumns({
-        "ppm": ratio(F.col("totalPasses"), F.col("possessionDuration") / 60),
-        "aveVelocity": ratio(F.col("distance"), F.col("possessionDuration")),
+        "ppm": F.expr(part("totalPasses", "possessionDuration / 60")),
+        "aveVelocity": F.expr(part("distance", "possessionDuration")),
         "zone14_17": F.col("isZone17Incursion") + F.col("isZone14Incursion"),
         "goal_shots": F.col("goals") + F.col("shots"),
     })
@@ -198,19 +195,18 @@ def match_features(plays: DataFrame) -> DataFrame:
     """
     match = Window.partitionBy("competition", "gameID")
     rows = match_sums(plays).withColumn("goal_total", F.sum("goals").over(match))
-    total = {c: strict_window_sum(c, match) for c in (*MATCH_SUMS, *MATCH_DERIVED)}
-    result = result_label(F.col("goals"), F.col("goal_total"))
-    return rows.select(
-        *FEATURE_KEYS, result.alias("result"),
-        F.when(result == "Draw", 1).when(result == "Loss", 0).otherwise(2)
-        .alias("default"),
-        *[share(F.col(c), total[c]).alias(f"{c}_pcnt") for c in total],
-    )
+    pair = "OVER (PARTITION BY competition, gameID)"
 
+    def share_of_pair(c: str) -> str:
+        known = f"CASE WHEN count({c}) {pair} = count(1) {pair} THEN sum({c}) {pair} END"
+        return f"CASE WHEN {c} = 0 THEN 0D ELSE {part(c, known)} END AS {c}_pcnt"
 
-def strict_window_sum(column: str, window) -> Column:
-    known = F.count(column).over(window) == F.count(F.lit(1)).over(window)
-    return F.when(known, F.sum(column).over(window))
+    result = result_label(F.col("goals"), F.col("goal_total"))
+    return rows.withColumn("result", result).selectExpr(
+        *FEATURE_KEYS, "result",
+        "CASE result WHEN 'Draw' THEN 1 WHEN 'Loss' THEN 0 ELSE 2 END AS default",
+        *[share_of_pair(c) for c in (*MATCH_SUMS, *MATCH_DERIVED)],
+    )
 
 
 def labelled_predictors(features: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ EVENT_KEY = ["gameID", "ord", "pseudoEvent"]
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, without negative zero."""
-    return df.select(*[
-        (F.round(f.name, digits) + 0.0).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    return df.selectExpr(*[
+        f"round(`{f.name}`, {digits}) + 0D AS `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema.fields])
 
 
@@ -221,7 +221,8 @@ def team_stats_share(spark, sf):
 
 
 def match_result(spark, sf):
-    return reports.match_results(profile.game_totals(plays(spark, sf)))
+    games = profile.game_totals(plays(spark, sf))
+    return reports.match_results(games).orderBy("gameDate", "matchName")
 
 
 def age_stats_count(spark, sf):
