@@ -52,7 +52,7 @@ def test_reports_push_filters_into_the_stage_scan(spark, tmp_path):
     assert "possessionDuration" not in schema
 
 
-def test_profile_hashes_the_plays(spark):
-    plays = catalogue.plays(spark, SMALL)
+def test_profile_shuffles_only_partial_sums(spark, tmp_path):
+    plays = convert(events_feed(spark, SMALL), str(tmp_path / "t")).read("plays")
     plan = team_profile(plays)._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate(keys=[competition" in plan
+    assert plan.count("Exchange") == 1 and "partial_sum" in plan
