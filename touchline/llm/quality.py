@@ -1,27 +1,29 @@
 """Quality rules: fixed rules, then a hashed n-gram log-likelihood ratio.
 
-Every word and every pair of neighbouring words falls into one of ``BUCKETS``
-hash buckets.  Two multinomials over the buckets are estimated: the raw corpus
-(all documents) and the trusted target (labelled documents).  A document's
-score is its log-likelihood ratio, target against raw, per n-gram; documents
-below ``THRESHOLD`` are rejected.
+Every run of ``GRAM`` bytes of a text (words joined by one space) falls into one
+of ``BUCKETS`` hash buckets.  Two multinomials over the buckets are estimated:
+the raw corpus (all documents) and the trusted target (labelled documents).  A
+document's score is its log-likelihood ratio, target against raw, per n-gram.
+Documents below a threshold are rejected: the ``QUANTILE`` of the scores of
+trusted documents that the target has not seen, less ``MARGIN``.
 
 The counts are made inside the tasks (one row per bucket and task is
 shuffled), so neither texts nor n-grams move; the model has ``BUCKETS`` numbers
-whatever the corpus, and is what is broadcast.  The target is fitted on at most
-``TRUSTED`` labelled documents (those with the smallest hash of their id); all
-other statistics cover all rows.
+whatever the corpus, and is what is broadcast.  Target and threshold are fitted
+on at most ``TRUSTED`` labelled documents (those with the smallest hash of
+their id, a fifth of them for the threshold); all other statistics cover all
+rows.  The same tables always give the same verdicts.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 document without n-grams scores 0; each repeated row is counted and judged; an
-empty table gives an empty result; without any trusted row, or on an empty
-corpus, every score is 0, so that the base rules alone decide.  Other columns
-are not read.
+empty table gives an empty result; without any trusted row every score is 0, so
+that the base rules alone decide.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,18 @@ from pyspark.sql import functions as F
 
 from touchline.llm import frames, words as w
 
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
 #: Bound on the labelled rows that the target multinomial is fitted on.
 TRUSTED = 20_000
 #: Smoothing: pseudo-counts per bucket, in the proportions of the raw corpus.
 PRIOR = 0.5
-#: Nats per n-gram; a document below it is rejected.
-THRESHOLD = -0.15
+QUANTILE = 0.005
+#: Nats per n-gram that a document may lie below that quantile.
+MARGIN = 0.1
+#: Bytes in an n-gram, and bytes of a text that are worked on at once.
+GRAM = 5
+PIECE = 1 << 20
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
@@ -44,11 +51,25 @@ COLUMNS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, "
            "n_repeat_words long, base_failed boolean, kept boolean, score double")
 
 
-def grams(found: list[bytes]) -> np.ndarray:
-    """Bucket of each word and of each pair of neighbours."""
-    h = w.hashes(found)
-    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    return np.concatenate((w.mix(h), w.mix(w.rolling(h, 2)))) >> shift
+def grams(found: list[bytes]) -> Iterator[np.ndarray]:
+    """Buckets of a text's n-grams, a bounded piece at a time."""
+    line = np.frombuffer(b" ".join(found), np.uint8)
+    for at in range(0, len(line) - GRAM + 1, PIECE):
+        piece = line[at:at + PIECE + GRAM - 1].astype(np.uint64)
+        size = len(piece) - GRAM + 1
+        value = piece[:size].copy()
+        for k in range(1, GRAM):
+            value <<= np.uint64(8)
+            value |= piece[k:k + size]
+        yield ((value * np.uint64(w.BASE)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def score_of(found: list[bytes], ratios: np.ndarray) -> float:
+    """Mean log ratio of the n-grams."""
+    total = number = 0
+    for bucket in grams(found):
+        total, number = total + ratios[bucket].sum(), number + len(bucket)
+    return float(total / number) if number else 0.0
 
 
 def repeated_words(found: list[bytes]) -> int:
@@ -77,29 +98,28 @@ def measures(text: bytes, found: list[bytes]) -> tuple[int, int, int, int, int,
             len(lines) - len(set(lines)), repeats, n < 20 or 100 * repeats > 30 * n)
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> set[int]:
-    """Ids of at most ``limit`` documents labelled good and harmless."""
+def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> tuple[list[int], list[int]]:
+    """Ids of at most ``limit`` documents labelled good and harmless: those to
+    fit the target on, and those to set the threshold by."""
     good = (labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
             .select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return {r[0] for r in picked}
+    ids = [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+    return [x for i, x in enumerate(ids) if i % 5], ids[::5]
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: list[int]) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw), for every bucket."""
-    sc = docs.sparkSession.sparkContext
-    trusted = sc.broadcast(trusted_ids(labels, limit))
-    size = BUCKETS
+    known, size = docs.sparkSession.sparkContext.broadcast(frozenset(trusted)), BUCKETS
 
     def count(batches):
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in frames.slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), frames.texts(batch)):
-                found = np.bincount(grams(w.spaced_words(text)).astype(np.int64),
-                                    minlength=size)
-                raw += found
-                if key in trusted.value:
-                    target += found
+                good = key in known.value
+                for bucket in grams(w.spaced_words(text)):
+                    np.add.at(raw, bucket, 1)
+                    if good:
+                        np.add.at(target, bucket, 1)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])],
@@ -117,7 +137,30 @@ def log_ratios(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> np.n
     return np.log(q) - np.log(p)
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD,
+def threshold_of(docs: DataFrame, ids: list[int], ratios: np.ndarray) -> float:
+    """The low quantile of the scores of documents ``ids`` (20 words or more)."""
+    spark = docs.sparkSession
+    some = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    model = spark.sparkContext.broadcast(ratios)
+
+    def work(batch):
+        found = [w.spaced_words(t) for t in frames.texts(batch)]
+        return {"score": [score_of(x, model.value) if len(x) >= 20 else None for x in found]}
+
+    picked = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
+    rows = frames.arrow_map(picked, work, "score double").filter("score IS NOT NULL").collect()
+    return (float(np.quantile([r[0] for r in rows], QUANTILE, method="lower")) - MARGIN
+            if rows else -np.inf)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> tuple[np.ndarray, float]:
+    """The model: log ratios by bucket, and the threshold."""
+    target, held_out = trusted_ids(labels, limit)
+    ratios = log_ratios(docs, target)
+    return ratios, threshold_of(docs, held_out, ratios)
+
+
+def judge(docs: DataFrame, ratios: np.ndarray, threshold: float,
           text: str = "text", columns: str = COLUMNS,
           carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The measures and the verdict for every row, next to the ``carry`` columns.
@@ -132,8 +175,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD,
         for body in frames.texts(batch, text):
             found = w.spaced_words(body)
             got = measures(body, found)
-            at = grams(found)
-            score = float(model.value[at.astype(np.int64)].mean()) if len(at) else 0.0
+            score = score_of(found, model.value)
             out.append((*got, not got[-1] and score >= threshold, score))
         return dict(zip(names, zip(*out)))
 
@@ -141,15 +183,15 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD,
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+                  text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, kept, score."""
     rows = frames.keyed_texts(docs, id_col, text_col)
-    return judge(rows, log_ratios(rows, labels), threshold)
+    return judge(rows, *fitted(rows, labels))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns unchanged."""
-    ratios = log_ratios(frames.keyed_texts(docs, "doc_id", "text"), labels)
+    ratios, threshold = fitted(frames.keyed_texts(docs, "doc_id", "text"), labels)
     columns = ", ".join(f"{frames.fresh('_' + n, docs)} {k}"
                         for n, k in (c.split() for c in COLUMNS.split(", ")))
     verdict = columns.split(", ")[6].split()[0]
