@@ -101,6 +101,8 @@ def bucket_links(rows: DataFrame, bits: int) -> DataFrame:
 
         def links(bucket, fp):
             """Whole buckets, in blocks of about BLOCK variants."""
+            if not len(bucket):
+                return
             order = np.lexsort((fp, bucket))
             bucket, fp = bucket[order], fp[order]
             prefix = fp >> np.uint64(64 - bits)
