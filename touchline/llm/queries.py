@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, quality, secrets, simhash
+from touchline.llm import chat, decontaminate, quality, secrets, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.drop_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -33,6 +37,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_chats(turns.unionByName(chat.probe(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op7_secrets, op9_quality, op10_chat)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op3_simhash, op4_substrings, op7_secrets, op9_quality, op10_chat)}
 
 ORACLE: dict[str, str] = {}
