@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, quality, secrets, simhash, substrings
+from touchline.llm import chat, decontaminate, pii, quality, secrets, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_simhash, op4_substrings, op7_secrets, op9_quality, op10_chat)}
+    op1_decontaminate, op3_simhash, op4_substrings, op7_secrets, op8_pii, op9_quality, op10_chat)}
 
 ORACLE: dict[str, str] = {}
