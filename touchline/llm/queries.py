@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, pii, quality, secrets, simhash, substrings
+from touchline.llm import chat, decontaminate, pieces, pii, quality, secrets, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(substrings.drop_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -42,6 +46,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_simhash, op4_substrings, op7_secrets, op8_pii, op9_quality, op10_chat)}
+    op1_decontaminate, op3_simhash, op4_substrings, op5_pieces, op7_secrets,
+    op8_pii, op9_quality, op10_chat)}
 
 ORACLE: dict[str, str] = {}
