@@ -1,7 +1,13 @@
-"""A corpus pipeline: each stage works on what the one before it kept.
+"""A corpus pipeline: each stage works on all that the one before it kept.
 
-Stages, in order: quality rules (rejected documents go) and SimHash near
-duplicates (one document of each class stays).
+1. quality rules: documents that they reject go;
+2. SimHash near-duplicates: one document of each class stays;
+3. benchmark decontamination: contaminated documents go;
+4. secret scans: every secret in a text is replaced by a marker;
+5. SentencePiece: the texts' pieces, and whether they decode to the text.
+
+Each stage's rows are written as Parquet and read again by the next.  A null or
+empty text fails the quality rules; see the operators for the other cases.
 """
 
 from __future__ import annotations
@@ -9,8 +15,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import frames, quality, simhash
+from touchline.llm import decontaminate, frames, pieces, quality, secrets, simhash
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +28,27 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, lossless (the ids decode to the text)."""
+    found = pieces.encode(docs, carry_digest=True)
+    return pieces.decode(found).select(
+        "doc_id", "ids", "n_pieces", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+
+
 STAGES = [
     ("quality_rules", good_quality),
     ("simhash_near_duplicates", one_of_each),
+    ("benchmark_decontamination", uncontaminated),
+    ("secret_scans", without_secrets),
+    ("sentencepiece", segmented),
 ]
 
 #: No statement: hashed n-grams, SimHash and the segmentation cannot be

@@ -365,8 +365,8 @@ def segmenter(shared) -> Segmenter:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids: the pieces of every text."""
+           model: str = MODEL, chunk: int = CHUNK, carry_digest: bool = False) -> DataFrame:
+    """doc_id, ids: the pieces of every text (and text_sha256 if wanted)."""
     spark = docs.sparkSession
     words = vocabulary(model)
     states = Segmenter(words).states
@@ -383,19 +383,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found], dtype=np.int64)))
             ids = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
-
-    out = texts.filter(~giant).mapInArrow(small, "doc_id long, ids array<int>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids],
+                                             ["doc_id", "text_sha256", "ids"])
+
+    texts = texts.withColumn(
+        "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256) if carry_digest
+        else F.lit(None).cast("string"))
+    columns = ["doc_id", *["text_sha256"] * carry_digest, "ids"]
+    out = texts.filter(~giant).mapInArrow(
+        small, "doc_id long, text_sha256 string, ids array<int>").select(*columns)
     big = frames.arrow_map(
         texts.filter(giant), lambda b: {
             "text_key": [signed(xxhash.xxh3_64_intdigest(x)) for x in frames.texts(b)]},
-        "text_key long", ("doc_id", "text"))
-    big = frames.staged(big.select("doc_id", "text_key", "text"))
+        "text_key long", ("doc_id", "text", "text_sha256"))
+    big = frames.staged(big.select("doc_id", "text_key", "text", "text_sha256"))
     if big.isEmpty():
         return out
     once = big.dropDuplicates(ROW)
     encoded = encode_giants(once, shared, chunk, states)
-    return out.unionByName(same_rows(big.select(*ROW), encoded, ROW).select("doc_id", "ids"))
+    return out.unionByName(
+        same_rows(big.select(*ROW, "text_sha256"), encoded, ROW).select(*columns))
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -413,7 +420,7 @@ def byte_table(words: dict) -> list[bytes]:
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with the decoded text, n_pieces and the digest of the ids (as
-    little-endian 32-bit integers) in place of the ids."""
+    little-endian 32-bit integers)."""
     shared = encoded.sparkSession.sparkContext.broadcast(byte_table(vocabulary(model)))
 
     def work(batch):
@@ -424,7 +431,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in rows]}
 
     return frames.arrow_map(encoded, work, "decoded string, n_pieces long, ids_sha256 string",
-                            tuple(c for c in encoded.columns if c != "ids"))
+                            tuple(encoded.columns))
 
 
 def report(decoded: DataFrame) -> DataFrame:
