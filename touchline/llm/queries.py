@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, pieces, pii, quality, secrets, simhash, substrings
+from touchline.llm import chat, decontaminate, pieces, pii, quality, secrets, sharding, simhash, substrings
+
+SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        table(spark, sf_dir, "benchmark"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, slot, shard = sharding.place(
+        table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+    return placed.select("doc_id", slot, shard)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_simhash, op4_substrings, op5_pieces, op7_secrets,
+    op1_decontaminate, op2_sharding, op3_simhash, op4_substrings, op5_pieces, op7_secrets,
     op8_pii, op9_quality, op10_chat)}
 
 ORACLE: dict[str, str] = {}
