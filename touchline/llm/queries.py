@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, pieces, pii, quality, secrets, sharding, simhash, substrings
+from touchline.llm import (
+    chat, decontaminate, frames, pieces, pii, quality, secrets, sharding, simhash, substrings, warc)
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -36,6 +39,12 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{frames.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.report(warc.read(spark, folder))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -54,7 +63,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_sharding, op3_simhash, op4_substrings, op5_pieces, op7_secrets,
-    op8_pii, op9_quality, op10_chat)}
+    op1_decontaminate, op2_sharding, op3_simhash, op4_substrings, op5_pieces, op6_warc,
+    op7_secrets, op8_pii, op9_quality, op10_chat)}
 
 ORACLE: dict[str, str] = {}
