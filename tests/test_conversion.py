@@ -1,12 +1,14 @@
 """Feed files to stage tables, in one go and game by game."""
 
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from touchline.functions.constants import GIRLS_16, TOP_FLIGHT
 from touchline.operators.profile import team_profile
 from touchline.plans import catalogue, reports
-from touchline.plans.conversion import convert, convert_files
+from touchline.plans.conversion import Tables, convert, convert_files
+from touchline.sources import feed as sources
 from touchline.sources.feed import FEED_COLUMNS, events_feed
 
 
@@ -30,6 +32,39 @@ def test_two_deliveries_equal_one(spark, tmp_path):
     assert again.read("sequenced").count() == once.read("sequenced").count()
 
 
+@pytest.mark.parametrize("failing", ["enriched", "plays", "sequenced", "batches"])
+def test_interrupted_batch_is_replaced(spark, tmp_path, monkeypatch, failing):
+    """A delivery that dies before any of its writes leaves nothing behind."""
+    feed = events_feed(spark, SMALL)
+    first = feed.filter(F.col("competition").isin(TOP_FLIGHT))
+    path = str(tmp_path / "t")
+    convert(first, path)
+    before = rows(convert(first, path).read("plays"))
+
+    def dying(write):
+        def attempt(df, to, *args):
+            if f"/{failing}" in to:
+                # Part of the rows, as a job leaves them that loses its driver.
+                if failing != "batches":
+                    write(df.limit(7), to, *args)
+                raise RuntimeError("lost")
+            return write(df, to, *args)
+        return attempt
+
+    with monkeypatch.context() as m:
+        m.setattr(sources, "write_extracts", dying(sources.write_extracts))
+        m.setattr(sources, "append_games", dying(sources.append_games))
+        with pytest.raises(RuntimeError):
+            convert(feed, path)
+    tables = Tables(spark, path)
+    assert tables.batches() == 1 and rows(tables.read("plays")) == before
+    retried = convert(feed, path)
+    clean = convert(feed, str(tmp_path / "clean"))
+    for name in ("sequenced", "enriched", "plays", "ages", "team_profiles"):
+        assert rows(retried.read(name)) == rows(clean.read(name))
+    assert "chunk" not in retried.read("sequenced").columns
+
+
 def test_pipe_separated_delivery(spark, tmp_path):
     feed = events_feed(spark, SMALL)
     lines = ["|".join(FEED_COLUMNS)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
@@ -16,8 +17,8 @@ from touchline.operators import classify, cluster, profile
 from touchline.operators.enrich import enrich_events, mark_passes
 from touchline.operators.plays import roll_up_plays
 from touchline.operators.sequence import sequence_events
-from touchline.operators.slices import stage
-from touchline.plans import reports
+from touchline.operators.slices import stage, workspace
+from touchline.plans import conversion, reports
 from touchline.plans.oracle_tables import _SEQ, ENRICHED_COLUMNS, SHARE_STATS
 from touchline.plans.registry import STATS
 from touchline.sources import feed as sources
@@ -161,6 +162,19 @@ def converted_append(spark, sf):
         F.count(F.lit(1)).alias("n_events"), F.max("playNumber").alias("n_plays"))
 
 
+def converted_batches(spark, sf):
+    """Two deliveries, the second with the games of the first again."""
+    events = stage(feed(spark, sf))
+    folder = f"{workspace(spark)}/converted-{uuid.uuid4().hex}"
+    conversion.convert(_history(events), folder)
+    tables = conversion.convert(events, folder)
+    counts = tables.read("sequenced").groupBy("gameID", "competition").agg(
+        F.count(F.lit(1)).alias("n_events"))
+    played = tables.read("plays").groupBy("gameID").agg(F.count(F.lit(1)).alias("n_plays"))
+    return counts.join(played, "gameID", "left").withColumn(
+        "n_plays", F.coalesce("n_plays", F.lit(0)))
+
+
 def competition_extract(spark, sf):
     return rounded(sources.competition_extract(plays(spark, sf), TOP_FLIGHT))
 
@@ -375,6 +389,7 @@ QUERIES: dict[str, Query] = {
     "new_games": new_games,
     "pending_events": pending_events,
     "converted_append": converted_append,
+    "converted_batches": converted_batches,
     "competition_extract": competition_extract,
     "passing_breakdown": passing_breakdown,
     "passing_breakdown_fouls": passing_breakdown_fouls,

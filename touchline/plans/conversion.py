@@ -1,9 +1,13 @@
 """Batch conversion: feed files in, stage tables out.
 
-Only games the history has not seen are sequenced, enriched and rolled up, and
-appended to the event and play tables.  All three are per-game, so appending
-gives the same tables as converting everything again.  The small roll-ups are
-rebuilt from the play table.
+Only games the history has not seen are sequenced, enriched and rolled up.  All
+three are per-game, so adding batches gives the same tables as converting
+everything again.  The small roll-ups are rebuilt from the play table.
+
+Every delivery is a batch with the next free number; each table has a folder for
+it.  A batch counts only when its number has been added to ``batches``, which is
+written last: an interrupted batch is invisible, and the retry, which has the
+same number, replaces its folders.  One conversion runs at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.operators import profile
 from touchline.operators.enrich import enrich_events
@@ -20,7 +25,7 @@ from touchline.operators.sequence import sequence_events
 from touchline.operators.slices import CHUNK_ROWS, stage
 from touchline.sources import feed as sources
 
-BY_COMPETITION = ("sequenced", "enriched", "plays")
+BY_COMPETITION = ("enriched", "plays", "sequenced")
 ROLL_UPS = {
     "ages": profile.age_totals,
     "match_profiles": profile.match_team_profile,
@@ -29,6 +34,9 @@ ROLL_UPS = {
 }
 
 
+BATCH = T.StructType([T.StructField("batch", T.IntegerType())])
+
+
 @dataclass(frozen=True)
 class Tables:
     """Stage tables under one folder."""
@@ -36,29 +44,39 @@ class Tables:
     spark: SparkSession
     path: str
 
+    def batches(self) -> int:
+        """How many batches are complete."""
+        done = sources.read_table(self.spark, f"{self.path}/batches", BATCH)
+        return done.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A stage table; of the ones kept by batch, complete batches only."""
+        df = self.spark.read.parquet(f"{self.path}/{name}")
+        if name not in BY_COMPETITION:
+            return df
+        return df.filter(F.col("batch") < self.batches()).drop("batch")
 
 
 def convert(
     feed: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS
 ) -> Tables:
     """Convert the feed's new games and refresh every stage table."""
-    spark = feed.sparkSession
-    seen = sources.read_table(
-        spark, f"{path}/sequenced", feed.select("gameID").schema)
-    # Written once and read twice: by the event table and by the enrichment.
-    converted = sequence_events(sources.pending_events(feed, seen), chunk_rows)
-    if "chunk" not in converted.columns:
-        converted = converted.withColumn("chunk", F.lit(0).cast("long"))
-    converted = stage(converted)
-    enriched = stage(enrich_events(converted, chunk_rows))
-    fresh = {"sequenced": converted, "enriched": enriched, "plays": roll_up_plays(enriched)}
-    for name in BY_COMPETITION:
-        # A folder per competition: an extract is a filter that prunes files.
-        (fresh[name].write.mode("append").partitionBy("competition")
-         .parquet(f"{path}/{name}"))
-    tables = Tables(spark, path)
+    tables = Tables(feed.sparkSession, path)
+    batch = tables.batches()
+    games = feed.select("gameID")
+    seen = tables.read("sequenced") if batch else games.limit(0)
+    pending = sources.pending_events(feed, seen)
+    if not pending.isEmpty():
+        # Written once and read twice: by the event table and by the enrichment.
+        converted = stage(sequence_events(pending, chunk_rows))
+        enriched = stage(enrich_events(converted, chunk_rows))
+        fresh = {"enriched": enriched, "plays": roll_up_plays(enriched),
+                 "sequenced": converted}
+        for name in BY_COMPETITION:
+            # A folder per competition: an extract is a filter that prunes files.
+            sources.write_extracts(fresh[name].drop("chunk"), f"{path}/{name}/batch={batch}")
+        sources.append_games(
+            tables.spark.createDataFrame([(batch,)], BATCH).coalesce(1), f"{path}/batches")
     plays = tables.read("plays")
     for name, roll_up in ROLL_UPS.items():
         sources.write_full(roll_up(plays), f"{path}/{name}")

@@ -497,6 +497,11 @@ ORACLE: dict[str, str] = {
     "converted_append": over(
         "SELECT gameID, competition, count(*) AS n_events, "
         "max(playNumber) AS n_plays FROM seq GROUP BY gameID, competition", "seq"),
+    "converted_batches": over("""
+SELECT e.gameID, competition, n_events, coalesce(n_plays, 0) AS n_plays
+FROM (SELECT gameID, competition, count(*) AS n_events FROM seq GROUP BY gameID, competition) e
+LEFT JOIN (SELECT gameID, count(*) AS n_plays FROM plays GROUP BY gameID) p
+ON e.gameID = p.gameID""", "plays"),
     "competition_extract": over(
         f"SELECT {tidy(PLAY_COLUMNS, PLAY_DOUBLES)} FROM plays "
         f"WHERE competition IN ({_TOP})", "plays"),
