@@ -103,11 +103,10 @@ def test_ward_matches_sequential_merging(scaled, matrix, block_rows):
     merges, _ = cluster.ward_merges(scaled, block_rows)
     found = sorted(r["height"] for r in merges.collect())
     assert found == pytest.approx(heights)
-    if block_rows > 7:
-        groups = {}
-        for r in cluster.ward_teams(scaled, 3).collect():
-            groups.setdefault(r["cluster"], set()).add(int(r["team_id"][1:]))
-        assert {frozenset(g) for g in groups.values()} == three
+    groups = {}
+    for r in cluster.ward_teams(scaled, 3).collect():
+        groups.setdefault(r["cluster"], set()).add(int(r["team_id"][1:]))
+    assert {frozenset(g) for g in groups.values()} == three
 
 
 def test_components(scaled, matrix):
@@ -119,6 +118,27 @@ def test_components(scaled, matrix):
     assert sum(r["pca_2"] ** 2 for r in out) == pytest.approx(values[1])
 
 
+def test_components_with_a_constant_feature(spark, matrix):
+    """A feature that never varies adds nothing to the loadings of the others."""
+    rows = [(f"t{i:02d}", *map(float, r), 3.0) for i, r in enumerate(matrix)]
+    df = spark.createDataFrame(
+        rows, "team_id string, a double, b double, c double, d double, e double")
+    out = {r["variable"]: r for r in cluster.variable_coordinates(
+        cluster.scaled_vectors(df, [*NAMES, "e"]), [*NAMES, "e"]).collect()}
+    z = (matrix - matrix.mean(0)) / matrix.std(0, ddof=1)
+    values = np.linalg.eigvalsh(np.cov(z.T))[::-1]
+    assert sum(r["pca_1"] ** 2 for r in out.values()) == pytest.approx(values[0])
+    assert out["e"]["pca_1"] == pytest.approx(0) and out["e"]["distance"] == pytest.approx(0)
+
+
+def test_teams_without_cluster_are_listed(spark, scaled):
+    ids = spark.createDataFrame([("t00",), ("t01",), ("none",)], "team_id string")
+    out = {r[0]: (r[1], r[2]) for r in cluster.with_reason(
+        ids, cluster.kmeans_teams(scaled, k=3, restarts=2, size=4)).collect()}
+    assert set(out) == {"t00", "t01", "none"} and out["none"] == (None, "incomplete profile")
+    assert out["t00"][0] in (0, 1, 2) and out["t00"][1] is None
+
+
 def test_split_is_exact_per_label(spark):
     rows = [(i, "big" if i % 10 else "small") for i in range(1003)]
     df = spark.createDataFrame(rows, "id long, lab string")
@@ -166,6 +186,18 @@ def test_forest_and_boosting_find_the_signal(labelled_rows):
         assert ranked["x"] > ranked["y"]
 
 
+def test_incomplete_rows_are_listed(spark, labelled_rows):
+    tuned = classify.random_forest(labelled_rows, trees=5, mtry=(1,), depth=3, folds=2, repeats=1)
+    row = ("G900", "t", "true", "2024-01-01", 1, None, 0.5)
+    extra = classify.as_vectors(spark.createDataFrame(
+        [row], "gameID string, teamName string, playByUs string, gameDate string, "
+               "default int, x double, y double"), ["x", "y"])
+    out = classify.predictions(tuned, labelled_rows.unionByName(extra))
+    assert out.count() == 151
+    lost = out.filter("predicted IS NULL").collect()
+    assert [(r.gameID, r.reason, r.label) for r in lost] == [("G900", "incomplete features", 1)]
+
+
 def test_correlation(labelled_rows):
     out = {r[0]: r[1] for r in
            classify.label_correlation(labelled_rows, ["x", "y"]).collect()}

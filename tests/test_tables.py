@@ -4,19 +4,22 @@ import math
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from conftest import CHECKED, SMALL
 from pyspark.sql import functions as F
 
 from touchline.functions.exprs import (
     choose, flag, one_of, open_flag, ratio, strict_max, strict_sum,
 )
 from touchline.operators.density import density_grid
-from touchline.operators.enrich import zone
+from touchline.operators.enrich import enrich_events, zone
+from touchline.operators.plays import roll_up_plays
 from touchline.operators.profile import (
     RATIOS, lenient, match_features, part, result_label,
 )
+from touchline.operators.sequence import sequence_events
 from touchline.plans import catalogue, reports
 from touchline.plans.registry import STATS
+from touchline.sources import feed as sources
 
 
 def one(df):
@@ -132,3 +135,29 @@ def test_density_has_no_cross_join(spark):
     df = spark.createDataFrame([(1.0, 1.0)], "lengthMetres double, widthMetres double")
     plan = density_grid(df)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_two_feature_rows_a_game(spark):
+    """One match name a game, one feature row a side, every result label used."""
+    found = catalogue.match_labels(spark, CHECKED)
+    sides = found.groupBy("gameID").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("playByUs").alias("sides"))
+    assert sides.filter("n <> sides OR n > 2").count() == 0
+    assert sides.filter("n = 2").count() > 0.9 * sides.count()
+    labels = {r[0]: r[1] for r in found.groupBy("default").count().collect()}
+    assert set(labels) == {0, 1, 2} and min(labels.values()) > 0.05 * sum(labels.values())
+
+
+def test_bad_input_is_unknown(spark):
+    """A bad time or JSON text gives NULL, and no failure."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    feed = sources.adapt_events(events.withColumn("props", F.when(
+        F.col("event_id") % 50 == 0, F.lit('{"k": "x"}')).otherwise(F.col("props"))))
+    bad = feed.withColumn("time", F.when(F.col("ord") % 40 == 3, F.lit("yesterday"))
+                          .otherwise(F.col("time")))
+    enriched = enrich_events(sequence_events(bad))
+    assert enriched.filter("kickoff_date IS NULL").count() > 0
+    assert enriched.count() >= events.count()
+    unknown = bad.withColumn("byUs", F.when(F.col("ord") % 40 != 3, F.col("byUs")))
+    played = roll_up_plays(enrich_events(sequence_events(unknown)))
+    assert played.filter("possessionDuration IS NULL").count() > 0

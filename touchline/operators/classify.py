@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.constants import PREDICTORS
+from touchline.operators.slices import stage
 
 ROW_ID = ["gameID", "teamName", "playByUs", "gameDate"]
 CLASSES = ["loss", "draw", "win"]
@@ -38,7 +40,8 @@ def stratified_split(
     buckets plus the counts of the earlier buckets.
     """
     keyed = df.withColumn("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), *ids)))
-    keyed = keyed.withColumn("bucket", F.substring("draw", 1, bucket_digits))
+    # Read twice: by the rows and by the bucket counts.
+    keyed = stage(keyed.withColumn("bucket", F.substring("draw", 1, bucket_digits)))
     group = Window.partitionBy(label)
     earlier = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy(label, "bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
@@ -53,11 +56,14 @@ def stratified_split(
 
 
 def as_vectors(labelled: DataFrame, predictors: Sequence[str] = PREDICTORS) -> DataFrame:
-    """Complete rows with a feature vector and a numeric label."""
+    """Rows with a feature vector, a numeric label, and whether they are complete
+    (a model can only be fitted on, and only score, complete rows)."""
     assembler = VectorAssembler(
-        inputCols=list(predictors), outputCol="features", handleInvalid="skip")
-    return assembler.transform(labelled).withColumn(
-        "label", F.col("default").cast("double"))
+        inputCols=list(predictors), outputCol="features", handleInvalid="keep")
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in predictors]
+    return assembler.transform(labelled).withColumns({
+        "label": F.col("default").cast("double"),
+        "complete": reduce(lambda a, b: a & b, known)})
 
 
 # --------------------------------------------------------------------------
@@ -76,7 +82,9 @@ def repeated_cv(
     estimator, grid: list[dict], train: DataFrame, folds: int = 5, repeats: int = 3,
     parallelism: int = 4,
 ) -> Tuned:
-    """Repeated k-fold search; one fit is skipped when there is no choice."""
+    """Repeated k-fold search over the complete rows, and a fit on all of them."""
+    if "complete" in train.columns:
+        train = train.filter("complete")
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     scores = np.zeros(len(grid))
     for seed in range(repeats):
@@ -90,7 +98,7 @@ def repeated_cv(
 
 def random_forest(
     train: DataFrame, trees: int = 2000, mtry: Sequence[int] = (2, 6, 10, 14, 18),
-    depth: int = 10, folds: int = 5, repeats: int = 3,
+    depth: int = 30, folds: int = 5, repeats: int = 3,
 ) -> Tuned:
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=1)
     grid = ParamGridBuilder().addGrid(
@@ -151,14 +159,25 @@ def _class_scores(scored: DataFrame) -> Column:
 
 
 def predictions(tuned: Tuned, rows: DataFrame) -> DataFrame:
-    """Probability of each result and the most likely one."""
+    """Probability of each result and the most likely one.
+
+    Every row is returned; ``reason`` tells why one has no prediction.
+    """
+    left_out = None
+    if "complete" in rows.columns:
+        left_out, rows = rows.filter("NOT complete"), rows.filter("complete")
     scored = tuned.model.transform(rows)
     scored = scored.withColumn("p", _class_scores(scored))
     likely = F.array_position("p", F.array_max("p")) - 1
-    return scored.select(
+    out = scored.select(
         *ROW_ID, F.col("label").cast("int").alias("label"),
         *[F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(CLASSES)],
-        likely.cast("int").alias("predicted"))
+        likely.cast("int").alias("predicted"), F.lit(None).cast("string").alias("reason"))
+    if left_out is None:
+        return out
+    return out.unionByName(left_out.select(
+        *ROW_ID, F.col("label").cast("int").alias("label"),
+        F.lit("incomplete features").alias("reason")), allowMissingColumns=True)
 
 
 def confusion_matrix(predicted: DataFrame) -> DataFrame:

@@ -18,20 +18,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.constants import (
     BOYS_14, CLUSTER_FEATURES, GIRLS_16, TOP_FLIGHT,
 )
-from touchline.operators.slices import number_rows, stage
+from touchline.operators.slices import number_rows, stage, stage_at, unstage
 
 FEATURES = list(CLUSTER_FEATURES)
-#: Cluster rows handed to every task at once (about 20 MB of centroids).
-BLOCK_ROWS = 100_000
+#: Clusters in a block of the Ward search; a task compares two blocks.
+BLOCK_ROWS = 1024
+#: Ward compares all pairs of clusters in each round, so it is for up to so many.
+TEAM_LIMIT = 100_000
 
 
 def chosen_teams(
@@ -46,6 +47,22 @@ def chosen_teams(
     ).dropna(subset=FEATURES)
 
 
+def dashboard_ids(profile: DataFrame, include_top_flight: bool = True) -> DataFrame:
+    """Ids of all the wanted teams, also of those without a complete profile."""
+    wanted = [GIRLS_16, *TOP_FLIGHT] if include_top_flight else [GIRLS_16]
+    return profile.filter(F.col("competition").isin(wanted)).select(
+        F.concat_ws("|", "competition", "teamName", "playByUs").alias("team_id"))
+
+
+def with_reason(ids: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Every id with its cluster, or why it has none."""
+    known = clusters.withColumn("scored", F.lit(True))
+    return ids.join(known, "team_id", "left").select(
+        "team_id", "cluster",
+        F.when(F.col("scored").isNull(), "incomplete profile")
+        .when(F.col("cluster").isNull(), "average in every feature").alias("reason"))
+
+
 def dashboard_teams(profile: DataFrame, include_top_flight: bool = True) -> DataFrame:
     wanted = [GIRLS_16, *TOP_FLIGHT] if include_top_flight else [GIRLS_16]
     return chosen_teams(profile, wanted)
@@ -122,7 +139,11 @@ def variable_coordinates(
     model = principal_components(scaled)
     loadings = model.pc.toArray()
     loadings = loadings * _signs(loadings)
-    spread = np.sqrt(np.asarray(model.explainedVariance) * len(features))
+    # Total variance: 1 for each feature, but 0 for one that never varies.
+    at = vector_to_array("scaled")
+    varying = scaled.agg(*[F.max(F.abs(at[i])).alias(f"m{i}") for i in range(len(features))])
+    total = sum(bool(m) for m in varying.first())
+    spread = np.sqrt(np.asarray(model.explainedVariance) * total)
     coords = loadings * spread
     spark = scaled.sparkSession
     rows = [(name, float(x), float(y)) for name, (x, y) in zip(features, coords)]
@@ -190,66 +211,128 @@ def _times(column: str, matrix: np.ndarray) -> Column:
 # --------------------------------------------------------------------------
 # k-means on distance rows
 # --------------------------------------------------------------------------
+def _pool(rows: DataFrame, size: int) -> np.ndarray:
+    """At most ``size`` rows, in the order of a hash of their id."""
+    picked = rows.orderBy(F.xxhash64("team_id"), "team_id").limit(size).collect()
+    return np.array([r["features"] for r in picked], dtype=float)
+
+
+def _sums(rows: DataFrame, centres: np.ndarray) -> list:
+    """Rows, cost and sum of the features for each restart and cluster.
+
+    One pass over the rows serves all restarts; a task returns one row for each
+    restart and cluster.  ``centres`` has restart, cluster and feature axes.
+    """
+    shape = centres.shape
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, cost, total = np.zeros(shape[:2]), np.zeros(shape[:2]), np.zeros(shape)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                x = np.array(batch["features"].iloc[at:at + 256].tolist(), dtype=float)
+                for r in range(shape[0]):
+                    gap = ((x[:, None, :] - centres[r][None]) ** 2).sum(axis=2)
+                    near = gap.argmin(axis=1)
+                    np.add.at(n[r], near, 1)
+                    np.add.at(cost[r], near, gap.min(axis=1))
+                    np.add.at(total[r], near, x)
+        r, c = np.indices(shape[:2])
+        yield pd.DataFrame({"restart": r.ravel(), "cluster": c.ravel(), "n": n.ravel(),
+                            "cost": cost.ravel(), "total": list(total.reshape(-1, shape[2]))})
+
+    parts = rows.mapInPandas(
+        work, "restart int, cluster int, n double, cost double, total array<double>")
+    return parts.groupBy("restart", "cluster").agg(
+        F.sum("n"), F.sum("cost"),
+        F.array(*[F.sum(F.col("total")[i]) for i in range(shape[2])])).collect()
+
+
 def kmeans_teams(
-    scaled: DataFrame, k: int = 3, restarts: int = 100, size: int = len(FEATURES)
+    scaled: DataFrame, k: int = 3, restarts: int = 100, size: int = len(FEATURES),
+    iterations: int = 100,
 ) -> DataFrame:
-    """Best of ``restarts`` k-means runs on the rows of the distance matrix."""
+    """Best of ``restarts`` k-means runs on the rows of the distance matrix.
+
+    All restarts advance together, so an iteration is one pass over the rows,
+    and the passes end when no restart moves any more.  Rows of teams without a
+    direction (all features average) get no cluster.  Clusters are numbered by
+    size, then cost.
+    """
     units = stage(unit_rows(scaled))
     root = gram_root(units, size)
-    rows = stage(units.select(
-        "team_id", array_to_vector(_times("u", root)).alias("features")))
-    best = None
-    for seed in range(restarts):
-        model = KMeans(k=k, seed=seed, initMode="random", maxIter=30, tol=0.0).fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best.transform(rows).select("team_id", F.col("prediction").alias("cluster"))
+    rows = stage(units.select("team_id", _times("u", root).alias("features")))
+    pool = _pool(rows, k * restarts)
+    if len(pool) < k:
+        raise ValueError(f"{k} clusters need at least {k} teams")
+    draw = np.random.default_rng(1)
+    centres = np.stack([
+        pool[draw.choice(len(pool), k, replace=False)] for _ in range(restarts)])
+    cost = np.zeros((restarts, k))
+    number = np.zeros((restarts, k))
+    for _ in range(iterations):
+        new = centres.copy()
+        for r, c, n, spent, total in _sums(rows, centres):
+            cost[r, c], number[r, c] = spent, n
+            if n:
+                new[r, c] = np.asarray(total) / n
+        still = np.allclose(new, centres, rtol=0, atol=1e-12)
+        centres = new
+        if still:
+            break
+    best = int(np.round(cost.sum(axis=1), 9).argmin())
+    order = np.lexsort((cost[best], -number[best]))
+    chosen = centres[best][order]
+
+    def gap(centre: np.ndarray) -> Column:
+        terms = [(F.col("features")[i] - float(v)) ** 2 for i, v in enumerate(centre)]
+        return reduce(lambda a, b: a + b, terms)
+
+    gaps = F.array(*[gap(c) for c in chosen])
+    found = rows.withColumn("gaps", gaps).select(
+        "team_id", (F.array_position("gaps", F.array_min("gaps")) - 1).cast("int").alias("cluster"))
+    return scaled.select("team_id").join(found, "team_id", "left")
 
 
 # --------------------------------------------------------------------------
 # Ward merging
 # --------------------------------------------------------------------------
-def _nearest_in(block: pd.DataFrame):
-    """Task-side search: nearest cluster of ``block`` for each cluster."""
-    ids = block["id"].to_numpy()
-    sizes = block["size"].to_numpy(dtype=float)
-    centres = np.array(block["centre"].tolist(), dtype=float)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for me, n, centre in zip(batch["id"], batch["size"], batch["centre"]):
-                gap = ((centres - np.asarray(centre)) ** 2).sum(axis=1)
-                height = np.where(ids == me, np.inf, sizes * n / (sizes + n) * gap)
-                low = height.min()
-                if np.isfinite(low):
-                    tied = ids[height == low]
-                    # Equal heights: the pair with the smallest ids comes first.
-                    near = min(tied, key=lambda o: (min(o, me), max(o, me)))
-                    found.append((me, int(near), float(low)))
-            yield pd.DataFrame(found, columns=["id", "near", "height"])
-
-    return search
+def _search(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """Nearest of the other block's clusters, for each of this block's."""
+    ids, sizes = others["id"].to_numpy(), others["size"].to_numpy(dtype=float)
+    centres = np.array(others["centre"].tolist(), dtype=float)
+    found = []
+    for at in range(0, len(mine) if len(others) else 0, 64):
+        part = mine.iloc[at:at + 64]
+        me, n = part["id"].to_numpy(), part["size"].to_numpy(dtype=float)
+        here = np.array(part["centre"].tolist(), dtype=float)
+        gap = ((here[:, None, :] - centres[None]) ** 2).sum(axis=2)
+        height = sizes[None] * n[:, None] / (sizes[None] + n[:, None]) * gap
+        height[me[:, None] == ids[None]] = np.inf
+        low = height.min(axis=1)
+        # Equal heights: the pair with the smallest ids comes first.
+        first = np.minimum(me[:, None], ids[None]) * (1 << 32) + np.maximum(me[:, None], ids[None])
+        first[height != low[:, None]] = np.iinfo(np.int64).max
+        near = first.argmin(axis=1)
+        found += [(int(i), int(ids[j]), float(h)) for i, j, h in zip(me, near, low)
+                  if np.isfinite(h)]
+    return pd.DataFrame(found, columns=["id", "near", "height"])
 
 
 def _nearest(clusters: DataFrame, last_id: int, block_rows: int) -> DataFrame:
     """Nearest other cluster of each cluster.
 
-    Every task gets one block of at most ``block_rows`` clusters; a larger
-    table is searched block after block and the best answer kept.
+    Clusters are cut into blocks of ``block_rows`` ids; every pair of blocks is
+    a task of its own, and the best answer of each cluster is kept.
     """
-    parts = []
-    for start in range(1, last_id + 1, block_rows):
-        block = clusters.filter(
-            (F.col("id") >= start) & (F.col("id") < start + block_rows)).toPandas()
-        if len(block):
-            parts.append(clusters.mapInPandas(
-                _nearest_in(block), "id long, near long, height double"))
-    if len(parts) == 1:
-        return parts[0]
+    blocks = F.sequence(F.lit(0), F.lit((last_id - 1) // block_rows))
+    own = F.floor((F.col("id") - 1) / block_rows).cast("int")
+    placed = clusters.withColumn("block", own).withColumn("other", F.explode(blocks))
+    pairs = placed.groupBy("block", "other").cogroup(
+        placed.select("id", "size", "centre", F.col("other").alias("block"),
+                      F.col("block").alias("other")).groupBy("block", "other"))
+    parts = pairs.applyInPandas(_search, "id long, near long, height double")
     order = F.struct("height", F.least("id", "near"), F.greatest("id", "near"))
-    return (reduce(DataFrame.unionByName, parts).groupBy("id")
-            .agg(F.min_by(F.struct("near", "height"), order).alias("best"))
+    return (parts.groupBy("id").agg(F.min_by(F.struct("near", "height"), order).alias("best"))
             .select("id", "best.*"))
 
 
@@ -262,15 +345,19 @@ def ward_merges(
     heights make that equal to merging one pair at a time.  A merged cluster
     keeps the smaller id.
     """
-    numbered = number_rows(
-        unit_rows(scaled).withColumn("all", F.lit(1)), ["all"], ["team_id"], out="id")
+    # Cut from the first row on: numbered by ranges, not in one task.
+    numbered = number_rows(unit_rows(scaled).withColumn("all", F.lit(1)), ["all"],
+                           ["team_id"], out="id", chunk_rows=block_rows)
     teams = stage(numbered.select("id", "team_id", "u"))
     last_id = teams.count()
+    if last_id > TEAM_LIMIT:
+        raise ValueError(f"Ward merging compares all pairs; {last_id} teams are too many")
+    spark = scaled.sparkSession
     clusters = teams.select("id", F.lit(1).cast("long").alias("size"),
                             F.col("u").alias("centre"))
-    merges, left = [], last_id
+    merges, left, read = [], last_id, []
     while left > 1:
-        near = stage(_nearest(clusters, last_id, block_rows))
+        near, near_at = stage_at(_nearest(clusters, last_id, block_rows))
         a, b = near.alias("a"), near.alias("b")
         pairs = (
             a.join(b, (F.col("a.near") == F.col("b.id")) & (F.col("b.near") == F.col("a.id")))
@@ -286,7 +373,7 @@ def ward_merges(
         whole = F.sum("size")
         width = F.transform(F.col("centre"), lambda v: v * F.col("size"))
         # At most two clusters meet under one id.
-        clusters = stage(
+        clusters, clusters_at = stage_at(
             moved.withColumn("weighted", width).groupBy("id").agg(
                 whole.alias("size"), F.collect_list("weighted").alias("parts"))
             .select("id", "size", F.transform(
@@ -294,8 +381,10 @@ def ward_merges(
                     F.zip_with(F.col("parts")[0], F.get("parts", F.lit(1)),
                                lambda x, y: x + y)),
                 lambda v: v / F.col("size")).alias("centre")))
+        unstage(spark, [near_at, *read])
+        read = [clusters_at]
         left = clusters.count()
-    spark = scaled.sparkSession
+    unstage(spark, read)
     empty = spark.createDataFrame([], "a long, b long, height double")
     return reduce(DataFrame.unionByName, merges, empty), teams.select("id", "team_id")
 

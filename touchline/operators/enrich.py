@@ -64,7 +64,7 @@ def age_group() -> Column:
 
 
 def match_name() -> Column:
-    day = F.to_date(F.substring("time", 1, 10))
+    day = F.substring("time", 1, 10).try_cast("date")
     return F.concat_ws(" ", F.date_format(day, "dd/MM/yy"), F.lit("-"),
                        F.col("theirName"))
 
@@ -152,8 +152,7 @@ def _cut_play(df: DataFrame, chunk_rows: int) -> DataFrame:
 def enrich_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Play-window columns on every sequenced event."""
     df = mark_passes(events).withColumns({
-        "kickoff_date": F.to_timestamp_ntz(
-            F.substring("time", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")),
+        "kickoff_date": F.substring("time", 1, 19).try_cast("timestamp_ntz"),
         "age_group": age_group(),
         "matchName": match_name(),
         "widthMetres": PITCH_WIDTH - F.col("widthMetres"),

@@ -86,10 +86,10 @@ def roll_up_plays(enriched: DataFrame) -> DataFrame:
         "attackDistance": strict_sum(carried(metres, area == "Attack")),
         "midfieldDistance": strict_sum(carried(metres, area == "Midfield")),
         "defenceDistance": strict_sum(carried(metres, area == "Defence")),
-        "possessionDuration": F.sum(carried(seconds)),
-        "AttackDuration": F.sum(carried(seconds, area == "Attack")),
-        "MidfieldDuration": F.sum(carried(seconds, area == "Midfield")),
-        "DefenceDuration": F.sum(carried(seconds, area == "Defence")),
+        "possessionDuration": strict_sum(carried(seconds)),
+        "AttackDuration": strict_sum(carried(seconds, area == "Attack")),
+        "MidfieldDuration": strict_sum(carried(seconds, area == "Midfield")),
+        "DefenceDuration": strict_sum(carried(seconds, area == "Defence")),
         "AttackHalfDuration": strict_sum(carried(seconds, far_half)),
         "DefenceHalfDuration": strict_sum(carried(seconds, ~far_half)),
         "attackPasses": in_area("Attack"),

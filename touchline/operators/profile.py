@@ -195,7 +195,9 @@ def match_features(plays: DataFrame) -> DataFrame:
     pair = "OVER (PARTITION BY competition, gameID)"
 
     def share_of_pair(c: str) -> str:
-        known = f"CASE WHEN count({c}) {pair} = count(1) {pair} THEN sum({c}) {pair} END"
+        known = f"sum({c}) {pair}"
+        if c in ("ppm", "aveVelocity"):  # the others are sums, never NULL
+            known = f"CASE WHEN count({c}) {pair} = count(1) {pair} THEN {known} END"
         return f"CASE WHEN {c} = 0 THEN 0D ELSE {part(c, known)} END AS {c}_pcnt"
 
     result = result_label(F.col("goals"), F.col("goal_total"))

@@ -20,7 +20,6 @@ row per chunk and is scanned with an ordinary window.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -34,23 +33,36 @@ CHUNK_ROWS = 1 << 19
 def workspace(spark: SparkSession) -> str:
     """Shared folder for staged tables: the one the cluster names.
 
-    Only a local session without the setting gets a folder of its own.
+    A local session without the setting gets one under its warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        shared = tempfile.mkdtemp(prefix="touchline-")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, cutting lineage."""
+    return stage_at(df)[0]
+
+
+def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """A staged table and its path, for ``unstage`` once nothing reads it."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def unstage(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

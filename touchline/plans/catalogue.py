@@ -220,6 +220,24 @@ def play_map_attacks(spark, sf):
         _positions(spark, sf), outcome="AttackIncursion", start_pct=25, end_pct=75))
 
 
+def heat_map_goals(spark, sf):
+    """Our plays against one opponent that end in a goal."""
+    return rounded(reports.heat_map(
+        enriched(spark, sf), "true", outcome="goal", opponent="Opp_3"))
+
+
+def game_possession_match(spark, sf):
+    """The first match's series."""
+    events = stage(enriched(spark, sf))
+    first = events.agg(F.min("matchName")).first()[0]
+    return rounded(reports.game_possession(events, "all", first))
+
+
+def unlabelled_documents(spark, sf):
+    return sources.unseen(spark.read.parquet(f"{sf}/documents.parquet"),
+                          spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+
+
 def scoreboard(spark, sf):
     return reports.scoreboard(enriched(spark, sf))
 
@@ -285,7 +303,11 @@ def pca_individuals(spark, sf):
 
 
 def kmeans_teams(spark, sf):
-    return cluster.kmeans_teams(cluster.scaled_vectors(teams(spark, sf)), restarts=10)
+    """Every team; those without a complete profile have no cluster, and a reason."""
+    profiles = stage(profile.team_profile(plays(spark, sf)))
+    found = cluster.kmeans_teams(
+        cluster.scaled_vectors(stage(cluster.dashboard_teams(profiles))))
+    return cluster.with_reason(cluster.dashboard_ids(profiles), found)
 
 
 def ward_teams(spark, sf):
@@ -332,43 +354,6 @@ def stratified_split(spark, sf):
         *classify.ROW_ID, "default", "in_train")
 
 
-def _train_test(spark, sf):
-    rows = stage(classify.as_vectors(classify.stratified_split(labelled(spark, sf)))
-                 .select(*classify.ROW_ID, "label", "features", "in_train"))
-    return rows.filter("in_train").drop("in_train"), rows.filter("NOT in_train")
-
-
-def _forest(train):
-    return classify.random_forest(train, trees=20, mtry=(2, 6), depth=5, repeats=1)
-
-
-def _boosted(train):
-    return classify.gradient_boosting(
-        train, trees=(5,), depths=(3,), min_leaf=(5, 10), folds=2, repeats=1)
-
-
-def _searched(train):
-    return classify.boosted_random_search(
-        train, tries=2, trees=(3, 6), folds=2, repeats=1)
-
-
-def _predicted(fit) -> Query:
-    def query(spark, sf):
-        train, test = _train_test(spark, sf)
-        return rounded(classify.predictions(fit(train), test))
-    return query
-
-
-def confusion_matrix(spark, sf):
-    train, test = _train_test(spark, sf)
-    return classify.confusion_matrix(classify.predictions(_forest(train), test))
-
-
-def feature_importance(spark, sf):
-    train, _ = _train_test(spark, sf)
-    return rounded(classify.importance(_forest(train), train))
-
-
 QUERIES: dict[str, Query] = {
     "feed_events": feed_events,
     "sequence_events": sequence_events_query,
@@ -396,6 +381,7 @@ QUERIES: dict[str, Query] = {
     "heat_map_us": heat_map_us,
     "heat_map_opposition": heat_map_opposition,
     "heat_map_first_contacts": heat_map_first_contacts,
+    "heat_map_goals": heat_map_goals,
     "play_map_segments": play_map_segments,
     "play_map_attacks": play_map_attacks,
     "scoreboard": scoreboard,
@@ -407,6 +393,7 @@ QUERIES: dict[str, Query] = {
     "game_possession": _possession("all"),
     "game_possession_attacking": _possession("attPossession"),
     "game_possession_defensive": _possession("defPossession"),
+    "game_possession_match": game_possession_match,
     "pick_list_opponents": _pick_list("theirName"),
     "pick_list_matches": _pick_list("matchName"),
     "team_priority": team_priority,
@@ -417,15 +404,11 @@ QUERIES: dict[str, Query] = {
     "cluster_input": cluster_input,
     "line_distribution": line_distribution,
     "customers_without_orders": customers_without_orders,
+    "unlabelled_documents": unlabelled_documents,
     "embedding_components": embedding_components,
     "pca_variables_top20": pca_variables_top20,
     "pca_individuals": pca_individuals,
     "kmeans_teams": kmeans_teams,
     "ward_teams": ward_teams,
     "ward_steps": ward_steps,
-    "rf_predictions": _predicted(_forest),
-    "gbt_predictions": _predicted(_boosted),
-    "boosted_random_search": _predicted(_searched),
-    "confusion_matrix": confusion_matrix,
-    "feature_importance": feature_importance,
 }

@@ -22,7 +22,8 @@ STAGES["raw"] = """
 SELECT 'G' || user_id AS gameID, user_id, event_id, ts,
        CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord,
-       count(*) OVER (PARTITION BY user_id) AS cnt
+       count(*) OVER (PARTITION BY user_id) AS cnt,
+       min(ts) OVER (PARTITION BY user_id) AS first_ts
 FROM events
 """
 
@@ -32,7 +33,7 @@ SELECT gameID, ord, k,
                     CAST(user_id % 7 + 1 AS INTEGER)) AS competition,
        'Us_' || (user_id % 4) AS ourName,
        'Opp_' || (user_id % 11) AS theirName,
-       strftime(ts, '%Y-%m-%d %H:%M:%S') AS time,
+       strftime(first_ts, '%Y-%m-%d') || strftime(ts, ' %H:%M:%S') AS time,
        epoch_us(ts) // 1000 AS epochTime,
        CASE WHEN ord = 1 THEN 'change ends'
             WHEN ord = cnt THEN 'finish'

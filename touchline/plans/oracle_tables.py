@@ -509,6 +509,13 @@ ON e.gameID = p.gameID""", "plays"),
     "passing_breakdown_fouls": over(
         passing(f"firstEvent IN ({quoted(FOUL_RESTARTS)}) AND totalPasses > 0"), "plays"),
     "heat_map_us": over(heat("true"), "enriched"),
+    "heat_map_goals": over(heat("true", "isGoal = 1 AND theirName = 'Opp_3'"), "enriched"),
+    "game_possession_match": over(
+        "SELECT * FROM (" + possession(["ourPossession", "theirPossession"])
+        + ") WHERE matchName = (SELECT min(matchName) FROM enriched)", "enriched"),
+    "unlabelled_documents": """
+SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""",
     "heat_map_opposition": over(heat("false"), "enriched"),
     "heat_map_first_contacts": over(
         heat("true", "isAttackIncursion = 1 AND sequenceNumber = 1 AND numberPasses > 0"),

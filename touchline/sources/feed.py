@@ -160,10 +160,17 @@ def adapt_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     base = events.select(
         F.concat(F.lit("G"), user).alias("gameID"),
         "user_id", "event_id", "ts",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("k"),
     )
     numbered = number_rows(base, ["gameID"], ["ts", "event_id"], chunk_rows=chunk_rows)
     split = "chunk" in numbered.columns
+    # A game is one day: its first one.
+    if split:
+        numbered = numbered.join(
+            base.groupBy("gameID").agg(F.min("ts").alias("first_ts")), "gameID")
+    else:
+        numbered = numbered.withColumn(
+            "first_ts", F.min("ts").over(Window.partitionBy("gameID")))
 
     k, ord_, cnt = F.col("k"), F.col("ord"), F.col("cnt")
     competitions = F.array(*[F.lit(c) for c in (
@@ -182,7 +189,8 @@ def adapt_events(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         F.element_at(competitions, (user % 7 + 1).cast("int")).alias("competition"),
         F.concat(F.lit("Us_"), user % 4).alias("ourName"),
         F.concat(F.lit("Opp_"), user % 11).alias("theirName"),
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("time"),
+        F.concat(F.date_format("first_ts", "yyyy-MM-dd"), F.date_format(ts, " HH:mm:ss"))
+        .alias("time"),
         millis.alias("epochTime"),
         _event_name(k, ord_, cnt).alias("eventName"),
         F.when(runs != (k % 10 == 0), "true").otherwise("false").alias("byUs"),
