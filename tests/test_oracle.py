@@ -1,10 +1,13 @@
 """Every query with a statement agrees with DuckDB on the given tables."""
 
+from pathlib import Path
+
 import pytest
 from compare import check, connect
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from touchline.operators import profile
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
@@ -36,3 +39,17 @@ def test_plan_is_one_scan_without_python_or_cross_joins(spark, name):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint" in plan
     for word in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
+
+
+def test_statements_do_not_share_code_with_the_operators():
+    plans = Path(entry.__file__).parent / "touchline" / "plans"
+    for path in plans.glob("oracle_*.py"):
+        text = path.read_text()
+        assert "touchline.operators" not in text and "plans.registry" not in text
+    assert "oracle" not in (plans / "catalogue.py").read_text()
+
+
+def test_a_wrong_denominator_is_noticed(spark, con, monkeypatch):
+    top, _ = profile.RATIOS["crossfieldPlay_pcnt"]
+    monkeypatch.setitem(profile.RATIOS, "crossfieldPlay_pcnt", (top, ["totalPasses"]))
+    assert check(spark, con, QUERIES["team_profile"], ORACLE["team_profile"], SMALL) != ""

@@ -19,10 +19,23 @@ from touchline.operators.plays import roll_up_plays
 from touchline.operators.sequence import sequence_events
 from touchline.operators.slices import stage, workspace
 from touchline.plans import conversion, reports
-from touchline.plans.oracle_tables import _SEQ, ENRICHED_COLUMNS, SHARE_STATS
 from touchline.plans.registry import STATS
 from touchline.sources import feed as sources
 
+SEQUENCED_COLUMNS = [
+    "gameID", "ord", "eventName", "byUs", "half", "lengthFraction", "lengthMetres",
+    "widthFraction", "widthMetres", "playNumber", "sequenceNumber", "player", "usPhase",
+    "oppositionPhase", "adjEventName", "adjPass", "attackIncursion", "penaltyIncursion",
+    "pseudoEvent"]
+ENRICHED_COLUMNS = [
+    "gameID", "ord", "pseudoEvent", "kickoff_date", "age_group", "matchName",
+    "widthMetres", "widthFraction", "playArea", "maxSequenceNumber",
+    "isAttackIncursion", "numberPasses", "isGoal", "playByUs", "firstEvent",
+    "lastEvent", "backPassTurnover", "fwdPassTurnover", "sidePassTurnover",
+    "rightAttack", "middleAttack", "leftAttack", "isZone14Incursion",
+    "isZone17Incursion", "isZone11PassIncursion", "isBackKeeperPass", "Movement"]
+SHARE_STATS = [s for s in STATS if STATS[s].kind != "count"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 EVENT_KEY = ["gameID", "ord", "pseudoEvent"]
 
@@ -68,11 +81,11 @@ def feed_events(spark, sf):
 
 
 def sequence_events_query(spark, sf):
-    return rounded(sequenced(spark, sf).select(*_SEQ))
+    return rounded(sequenced(spark, sf).select(*SEQUENCED_COLUMNS))
 
 
 def turnover_pseudo_events(spark, sf):
-    return rounded(sequenced(spark, sf).filter("pseudoEvent").select(*_SEQ))
+    return rounded(sequenced(spark, sf).filter("pseudoEvent").select(*SEQUENCED_COLUMNS))
 
 
 def completed_passes(spark, sf):

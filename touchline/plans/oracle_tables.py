@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from touchline.functions.constants import (
-    BOYS_13, BOYS_14, CLUSTER_FEATURES, FEATURE_KEYS, FOUL_RESTARTS, GIRLS_16,
-    HOME_TEAM, MATCH_DERIVED, MATCH_SUMS, MATCH_TEAM_KEYS, ODD_COMPETITION,
-    PLAY_KEYS, PREDICTORS, TEAM_KEYS, TOP_FLIGHT,
+    BOYS_13, BOYS_14, FOUL_RESTARTS, GIRLS_16, HOME_TEAM, ODD_COMPETITION, TOP_FLIGHT,
 )
-from touchline.operators.plays import (
-    EVENT_COUNTS, KNOWN_MAXES, KNOWN_SUMS, MAXES, MOVES, PLAY_COLUMNS, SUMS,
-)
-from touchline.operators.profile import LENIENT, RATIOS
 from touchline.plans.oracle_events import STAGES, quoted, rounded, statement
-from touchline.plans.registry import STATS
+from touchline.plans.oracle_lists import (
+    LABELS, MATCH_KEYS, MATCH_PREDICTORS, MATCH_RATES, MATCH_TEAM_KEYS, MATCH_TOTALS,
+    PLAY_COLUMNS, PLAY_EVENTS, PLAY_KEYS, PLAY_MAXES, PLAY_MOVES, PLAY_SUMS,
+    PROFILE_SHARES, SHARED, SKIPPING, STRICT_MAXES, TEAM_FEATURES, TEAM_KEYS,
+)
 
 TABLES: dict[str, str] = dict(STAGES)
 
@@ -88,12 +86,13 @@ SELECT {', '.join(PLAY_KEYS)},
            for n, a in (('attackPasses', 'Attack'), ('midfieldPasses', 'Midfield'),
                         ('defencePasses', 'Defence')))},
        {', '.join(strict(src, '' if n == 'playDuration' else 'BIGINT') + f' AS {n}'
-                  for n, src in {**SUMS, **KNOWN_SUMS}.items())},
-       {', '.join(f'max({src}) AS {n}' for n, src in {**MAXES, **KNOWN_MAXES}.items())},
+                  for n, src in PLAY_SUMS.items())},
+       {', '.join(f'max({src}) AS {n}' for n, src in PLAY_MAXES.items())},
+       {', '.join(f'CASE WHEN count({c}) = count(*) THEN max({c}) END AS {c}' for c in STRICT_MAXES)},
        {', '.join(f"max(CASE WHEN Movement = '{m}' THEN 1 ELSE 0 END) AS {n}"
-                  for n, m in MOVES.items())},
+                  for n, m in PLAY_MOVES.items())},
        {', '.join(f"count(*) FILTER (WHERE adjEventName = '{e}') AS {n}"
-                  for n, e in EVENT_COUNTS.items())},
+                  for n, e in PLAY_EVENTS.items())},
        max(isZone17Incursion) AS isZone17Incursion,
        max(isZone14Incursion) AS zone14,
        max(isZone11PassIncursion) AS isZone11PassIncursion,
@@ -126,7 +125,7 @@ FROM rolled
 # profiles
 # --------------------------------------------------------------------------
 def _total(column: str) -> str:
-    return f"coalesce(sum({column}), 0)" if column in LENIENT else strict(column)
+    return f"coalesce(sum({column}), 0)" if column in SKIPPING else strict(column)
 
 
 _NAMED = {"gameDuration": strict("possessionDuration"),
@@ -140,7 +139,7 @@ def _part(column: str) -> str:
 def profile(keys: list[str]) -> str:
     ratios = ",\n       ".join(
         f"CAST({_part(top)} AS DOUBLE) / nullif({' + '.join(map(_part, parts))}, 0) AS {n}"
-        for n, (top, parts) in RATIOS.items())
+        for n, (top, parts) in PROFILE_SHARES.items())
     return f"""
 SELECT {', '.join(keys)}, min(gameDate) AS gameDate, max(theirName) AS theirName,
        max(matchName) AS matchName, {_NAMED['gameDuration']} AS gameDuration,
@@ -160,11 +159,11 @@ def result_case(goals: str, total: str) -> str:
             f"WHEN {goals} / {total} < 0.5 THEN 'Loss' ELSE 'Win' END")
 
 
-_PROFILE_DOUBLES = ["gameDuration", "gameDistance", "ppm", "aveVelocity", *RATIOS,
+_PROFILE_DOUBLES = ["gameDuration", "gameDistance", "ppm", "aveVelocity", *PROFILE_SHARES,
                     "passPlay_pcnt"]
 _PROFILE_COLUMNS = ["gameDate", "theirName", "matchName", "gameDuration",
                     "gameDistance", "plays", "goals", "shots", "totalPasses", "ppm",
-                    "aveVelocity", *RATIOS, "passPlay_pcnt"]
+                    "aveVelocity", *PROFILE_SHARES, "passPlay_pcnt"]
 
 TABLES["match_team"] = profile(MATCH_TEAM_KEYS)
 TABLES["team"] = profile(TEAM_KEYS)
@@ -213,14 +212,14 @@ TABLES["games"] = numeric_totals(_GAME_KEYS)
 # match features
 # --------------------------------------------------------------------------
 _FEATURE_SELECT = ", ".join("gameDay AS gameDate" if c == "gameDate" else c
-                            for c in FEATURE_KEYS)
+                            for c in MATCH_KEYS)
 TABLES["match_sums"] = f"""
 SELECT *, totalPasses / nullif(possessionDuration / 60, 0) AS ppm,
        distance / nullif(possessionDuration, 0) AS aveVelocity,
        isZone17Incursion + isZone14Incursion AS zone14_17,
        goals + shots AS goal_shots
 FROM (SELECT {_FEATURE_SELECT},
-             {', '.join(f'coalesce(sum({c}), 0) AS {c}' for c in MATCH_SUMS)}
+             {', '.join(f'coalesce(sum({c}), 0) AS {c}' for c in MATCH_TOTALS)}
       FROM origins GROUP BY ALL)
 """
 
@@ -231,18 +230,18 @@ def _share(c: str) -> str:
             f"ELSE CAST({c} AS DOUBLE) / nullif({known}, 0) END AS {c}_pcnt")
 
 
-_SHARES = [f"{c}_pcnt" for c in (*MATCH_SUMS, *MATCH_DERIVED)]
+_SHARES = [f"{c}_pcnt" for c in (*MATCH_TOTALS, *MATCH_RATES)]
 TABLES["features"] = f"""
 SELECT *, CAST(CASE result WHEN 'Draw' THEN 1 WHEN 'Loss' THEN 0 ELSE 2 END
                AS INTEGER) AS "default"
-FROM (SELECT {', '.join(FEATURE_KEYS)},
+FROM (SELECT {', '.join(MATCH_KEYS)},
              {result_case('goals', 'sum(goals) OVER m')} AS result,
-             {', '.join(_share(c) for c in (*MATCH_SUMS, *MATCH_DERIVED))}
+             {', '.join(_share(c) for c in (*MATCH_TOTALS, *MATCH_RATES))}
       FROM match_sums WINDOW m AS (PARTITION BY competition, gameID))
 """
 
 TABLES["labelled"] = f"""
-SELECT gameID, teamName, playByUs, gameDate, "default", {', '.join(PREDICTORS)}
+SELECT gameID, teamName, playByUs, gameDate, "default", {', '.join(MATCH_PREDICTORS)}
 FROM features WHERE competition <> '{ODD_COMPETITION}'
 """
 
@@ -325,12 +324,12 @@ def stacked(table: str, ids: list[str], stats: list[str], category: str,
             as_share: bool) -> str:
     parts = []
     for stat in stats:
-        for place, (column, label) in enumerate(STATS[stat].labels.items(), 1):
+        for place, (column, label) in enumerate(LABELS[stat].items(), 1):
             parts.append(
                 f"SELECT {', '.join(ids)}, '{stat}' AS stat, '{column}' AS Key, "
                 f"'{label}' AS label, {place} AS label_order, "
                 f"CAST({column} AS DOUBLE) AS m FROM {table}")
-    bars = [s for s in stats if STATS[s].kind != "count"]
+    bars = [s for s in stats if s in SHARED]
     value = "m"
     if as_share and bars:
         value = (f"CASE WHEN stat IN ({quoted(bars)}) THEN m / nullif(sum(m) OVER "
@@ -403,11 +402,10 @@ ENRICHED_COLUMNS = [
     "rightAttack", "middleAttack", "leftAttack", "isZone14Incursion",
     "isZone17Incursion", "isZone11PassIncursion", "isBackKeeperPass", "Movement",
 ]
-SHARE_STATS = [s for s in STATS if STATS[s].kind != "count"]
 
 _TOP = quoted(TOP_FLIGHT)
 TEAM_COMPETITIONS = [GIRLS_16, *TOP_FLIGHT]
-_FEATURES = list(CLUSTER_FEATURES)
+_FEATURES = list(TEAM_FEATURES)
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in _FEATURES)
 _TEAM_ID = "competition || '|' || teamName || '|' || playByUs"
 
@@ -425,11 +423,11 @@ scaled AS (SELECT team_id, feature,
 
 
 def labels_correlation() -> str:
-    complete = " AND ".join(f"{c} IS NOT NULL" for c in PREDICTORS)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in MATCH_PREDICTORS)
     return " UNION ALL ".join(
         f"SELECT '{c}' AS predictor, CASE WHEN stddev_pop({c}) > 0 "
         f"THEN round(corr(\"default\", {c}), 6) + 0.0 END AS correlation "
-        f"FROM labelled WHERE {complete}" for c in PREDICTORS)
+        f"FROM labelled WHERE {complete}" for c in MATCH_PREDICTORS)
 
 
 def split_statement(fraction: float = 0.8, seed: int = 7) -> str:
@@ -485,9 +483,9 @@ ORACLE: dict[str, str] = {
         f"SELECT gameID, matchName, playByUs, gameDate, "
         f"{tidy(_NUMERIC, PLAY_DOUBLES + RATES)} FROM games", "games"),
     "match_features": over(
-        f"SELECT {tidy(FEATURE_KEYS + _SHARES, _SHARES)} FROM features", "features"),
+        f"SELECT {tidy(MATCH_KEYS + _SHARES, _SHARES)} FROM features", "features"),
     "match_labels": over(
-        f"SELECT {', '.join(FEATURE_KEYS)}, result, \"default\" FROM features", "features"),
+        f"SELECT {', '.join(MATCH_KEYS)}, result, \"default\" FROM features", "features"),
     "new_games": over(
         f"SELECT DISTINCT gameID FROM feed WHERE gameID NOT IN (SELECT gameID FROM feed "
         f"WHERE competition IN ({_TOP}))", "feed"),
@@ -524,11 +522,11 @@ SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM la
     "play_map_attacks": over(
         play_map(25, 75, "isAttackIncursion = 1"), "enriched"),
     "scoreboard": over(SCOREBOARD, "enriched"),
-    "team_stats_count": over(team_stats(list(STATS), False), "games"),
-    "team_stats_share": over(team_stats(SHARE_STATS, True), "games"),
+    "team_stats_count": over(team_stats(list(LABELS), False), "games"),
+    "team_stats_share": over(team_stats(SHARED, True), "games"),
     "match_result": over(RESULTS, "games"),
-    "age_stats_count": over(age_stats(list(STATS), False), "ages"),
-    "age_stats_share": over(age_stats(SHARE_STATS, True), "ages"),
+    "age_stats_count": over(age_stats(list(LABELS), False), "ages"),
+    "age_stats_share": over(age_stats(SHARED, True), "ages"),
     "game_possession": over(possession(["ourPossession", "theirPossession"]), "enriched"),
     "game_possession_attacking": over(
         possession(["ourAttackingPossession", "theirAttackingPossession"]), "enriched"),
@@ -546,7 +544,7 @@ SELECT team_id, '{GIRLS_16}|Us_1|true' AS other_id,
 FROM scaled JOIN anchor USING (feature) GROUP BY team_id""", "team"),
     "cluster_input": over(
         f"SELECT {_TEAM_ID} AS team_id, competition, teamName, playByUs, age_group, "
-        + ", ".join(rounded(c, f'"{n}"') for c, n in CLUSTER_FEATURES.items())
+        + ", ".join(rounded(c, f'"{n}"') for c, n in TEAM_FEATURES.items())
         + f" FROM team WHERE {_COMPLETE}", "team"),
     "line_distribution": """
 SELECT l_returnflag, l_linenumber, cnt,
