@@ -8,10 +8,11 @@ ordinal inside its group and cut large groups into chunks of at most
 
 * groups all small (checked with one map-side-combined count): a plain
   ``row_number`` window, no ``chunk`` column;
-* otherwise: range-partition on the full order (balanced however skewed the
-  keys are), number rows inside each range, and add the rows of the earlier
-  ranges.  The result has a ``chunk`` column and every later window is
-  partitioned by ``(keys, chunk)``.
+* otherwise the large groups, and only they, are range-partitioned on the full
+  order (balanced however skewed the keys are), numbered inside each range, and
+  given the rows of the earlier ranges; the others stay whole, as chunk 0.  The
+  result has a ``chunk`` column and every later window is partitioned by
+  ``(keys, chunk)``.
 
 Values that look over a chunk border come from copied border rows
 (``with_halo``); running values come from a per-chunk summary, which has one
@@ -84,13 +85,27 @@ def number_rows(
     ``order`` must be a total order inside a group.  Adds ``chunk`` only when
     some group is larger than ``chunk_rows``.
     """
-    if largest_group(df, keys) <= chunk_rows:
+    def by_window(rows: DataFrame) -> DataFrame:
         group = Window.partitionBy(*keys)
-        return df.withColumns({
+        return rows.withColumns({
             out: F.row_number().over(group.orderBy(*order)).cast("long"),
             total: F.count(F.lit(1)).over(group),
         })
 
+    if largest_group(df, keys) <= chunk_rows:
+        return by_window(df)
+    large = stage(df.groupBy(*keys).count().filter(F.col("count") > chunk_rows).select(*keys))
+    whole = by_window(df.join(large, list(keys), "left_anti")).withColumn(
+        "chunk", F.lit(0).cast("long"))
+    cut = by_ranges(df.join(large, list(keys), "left_semi"), keys, order, out, total, chunk_rows)
+    return whole.unionByName(cut)
+
+
+def by_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, total: str,
+    chunk_rows: int,
+) -> DataFrame:
+    """The numbering of large groups, with their ``chunk``."""
     cols = [F.col(c) for c in (*keys, *order)]
     ranged = stage(
         df.repartitionByRange(*cols)

@@ -176,10 +176,11 @@ def stacked(
     shared = [(s, c) for s, c in wanted if as_share and STATS[s].kind != "count"]
     values = {c: F.col(c).cast("double") for _, c in wanted}
     if shared:
-        bar = [category, "playByUs"]
-        df = df.join(df.groupBy(*bar).agg(*[
-            F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"_all_{c}")
-            for _, c in shared]), bar)
+        if f"_all_{shared[0][1]}" not in df.columns:
+            bar = [category, "playByUs"]
+            df = df.join(df.groupBy(*bar).agg(*[
+                F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"_all_{c}")
+                for _, c in shared]), bar)
         for stat, column in shared:
             parts = [F.col(f"_all_{c}") for c in STATS[stat].labels]
             values[column] = ratio(values[column], reduce(lambda a, b: a + b, parts))
@@ -195,12 +196,19 @@ def stacked(
     return df.select(*ids, *extra, side.alias("side"), F.inline(F.array(*bars)))
 
 
+def result_code(us: str, them: str) -> Column:
+    """2 for a draw, 1 for a loss, 3 for a win (fixed values)."""
+    us, them = F.col(us), F.col(them)
+    return F.when(us == them, 2).when(us < them, 1).otherwise(3)
+
+
 def match_results(games: DataFrame) -> DataFrame:
     """2 for a draw, 1 for a loss, 3 for a win; goals of both sides."""
     us = F.sum(F.when(F.col("playByUs") == "true", F.col("isGoal")).otherwise(0))
     them = F.sum(F.when(F.col("playByUs") == "false", F.col("isGoal")).otherwise(0))
     return games.groupBy("matchName", "gameDate").agg(
-        F.when(us == them, 2).when(us < them, 1).otherwise(3).alias("wld"))
+        us.alias("_us"), them.alias("_them")).select(
+        "matchName", "gameDate", result_code("_us", "_them").alias("wld"))
 
 
 def team_stats(
@@ -208,12 +216,31 @@ def team_stats(
 ) -> DataFrame:
     """Stacked statistics per match, with the result and the display order.
 
-    ``games`` is the game-level table; it is read three times, so pass a
-    staged table when it is large.
+    Rows are dealt by match once.  Everything that belongs to the match (results
+    by date, the latest date, both sides' bar totals) becomes one row for it, and
+    is joined once.  ``games`` is read twice, so pass a staged table.
     """
-    latest = games.groupBy("matchName").agg(F.max("gameDate").alias("match_order"))
-    placed = (games.join(match_results(games), ["matchName", "gameDate"])
-              .join(latest, "matchName"))
+    games = games.repartition("matchName")
+    shared = [c for s in stats for c in STATS[s].labels
+              if as_share and STATS[s].kind != "count"]
+    sides = {"us": "true", "them": "false"}
+
+    def of_side(side: str, column: str) -> Column:
+        return F.sum(F.when(F.col("playByUs") == sides[side], F.col(column)))
+
+    days = games.groupBy("matchName", "gameDate").agg(
+        *[F.coalesce(of_side(s, "isGoal"), F.lit(0)).alias(f"_{s}") for s in sides],
+        *[of_side(s, c).cast("double").alias(f"_{s}_{c}") for s in sides for c in shared])
+    matches = days.groupBy("matchName").agg(
+        F.max("gameDate").alias("match_order"),
+        F.collect_list(F.struct("gameDate", result_code("_us", "_them").alias("wld"))).alias("_days"),
+        *[F.coalesce(F.sum(f"_{s}_{c}"), F.lit(0.0)).alias(f"_{s}_{c}")
+          for s in sides for c in shared])
+    placed = games.join(matches, "matchName").withColumns({
+        "wld": F.get(F.filter("_days", lambda d: d["gameDate"].eqNullSafe(F.col("gameDate"))),
+                     F.lit(0))["wld"],
+        **{f"_all_{c}": F.when(F.col("playByUs") == "true", F.col(f"_us_{c}"))
+           .when(F.col("playByUs") == "false", F.col(f"_them_{c}")) for c in shared}})
     return stacked(placed, ["gameID", "matchName", "playByUs", "gameDate"], stats,
                    "matchName", as_share, ["wld", "match_order"])
 
