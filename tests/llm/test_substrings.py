@@ -64,17 +64,36 @@ def test_given_table(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want and any(r[2] for r in want)
 
 
-def test_minimisers(spark):
+def test_super_kmers():
     rng = random.Random(1)
-    h = w.hashes([b"%d" % rng.randrange(5) for _ in range(300)])
+    texts = [b" ".join(b"%d" % rng.randrange(5) for _ in range(n)) for n in (300, 0, 49, 50, 4, 120)]
     for window, mer in ((50, 8), (10, 3), (4, 4)):
-        value = w.mix(w.rolling(h, mer)).tolist()
-        at = [min(range(i, i + window - mer + 1), key=lambda j: (value[j], j))
-              for i in range(len(h) - window + 1)]
-        found, starts, counts = substrings.super_kmers(h, window, mer)
-        assert counts.sum() == len(at) and (np.cumsum(counts) - counts == starts).all()
-        assert [value[a] for a in at] == np.repeat(found, counts).tolist()
-        assert len(starts) == 1 + sum(a != b for a, b in zip(at, at[1:]))
+        runs, at = substrings.Runs(texts, window, mer), 0
+        for d, text in enumerate(texts):
+            h = w.hashes(text.split())
+            value = w.mix(w.rolling(h, mer)).tolist()
+            best = [min(range(i, i + window - mer + 1), key=lambda j: (value[j], j))
+                    for i in range(len(h) - window + 1)]
+            mine = runs.doc == d
+            start, count = runs.start[mine], runs.count[mine]
+            assert count.sum() == len(best) and (np.cumsum(count) - count == start).all()
+            assert [value[b] for b in best] == np.repeat(runs.value[mine], count).tolist()
+            assert mine.sum() == (1 + sum(a != b for a, b in zip(best, best[1:])) if best else 0)
+            assert (runs.first[mine] == start + at).all()
+            at += len(h)
+
+
+def test_equal_hashes_of_other_windows(monkeypatch):
+    """Should hashes collide, the words decide."""
+    bodies = [b"a b c d", b"x y z d", b"a b c e"]
+    meta = np.array([(1, 0, 0, 2), (2, 0, 0, 2), (3, 0, 0, 2)])
+
+    def spans():
+        return substrings.repeated(meta, bodies, 3).to_pylist()
+
+    assert spans() == [{"doc_id": 3, "text_key": 0, "start": 0, "end": 3}]
+    monkeypatch.setattr(w, "hashes", lambda found: np.zeros(len(found), np.uint64))
+    assert spans() == [{"doc_id": 3, "text_key": 0, "start": 0, "end": 3}]
 
 
 def test_empty(spark):

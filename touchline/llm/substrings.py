@@ -5,13 +5,14 @@ A window is ``WINDOW`` consecutive words.  Its minimiser is the leftmost of its
 Consecutive windows that share one travel together, as one packed string of
 their words, to the minimiser's bucket: about three words are shipped for each
 word of the text, instead of fifty.  A task packs and compresses what it sends
-to the same bucket.  In a bucket the windows are sorted by hash; those that
-meet others are compared by their bytes, and each gets the least document that
-has it.
+to the same bucket.  In a bucket the windows are sorted by hash, and stretches
+of them that meet others are compared by their bytes with the least document
+that has them.
 
 Minimisers of more than ``CROWDED`` super-k-mers (the ``HOT_SET`` largest of
-them) would make one bucket grow with the input.  Their windows are dealt singly instead: a grouped minimum by
-window, combined before the shuffle, is joined back to them.
+them) would make one bucket grow with the input.  Their windows travel singly, to
+the bucket of the window's own hash, and equal ones are combined before that: a
+task sends one of the least document it has seen, and reports the others itself.
 
 The number of buckets follows the size of the texts (``BUCKET_BYTES`` of packed
 text each), so a task holds the same amount at any scale.
@@ -24,6 +25,8 @@ an empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +38,7 @@ from touchline.llm import frames, words as w
 from touchline.llm.simhash import signed
 
 WINDOW = 50
-MER = 8
+MER = 4
 #: Packed text of one bucket, and packed text a task holds before it sends it.
 BUCKET_BYTES = 8 << 20
 BUFFER_BYTES = 24 << 20
@@ -44,11 +47,9 @@ HOT_SET = 100_000
 LAST = (1 << 63) - 1
 
 
-def super_kmers(h: np.ndarray, window: int, mer: int):
-    """Minimiser, first window and number of windows of each super-k-mer."""
+def minimisers(h: np.ndarray, window: int, mer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the minimiser of every window."""
     n = len(h) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     value = w.mix(w.rolling(h, mer))
     best, width, reach = np.arange(len(value)), 1, window - mer + 1
 
@@ -58,8 +59,39 @@ def super_kmers(h: np.ndarray, window: int, mer: int):
     while 2 * width <= reach:
         best, width = least(best[:-width], best[width:]), 2 * width
     at = least(best[:n], best[reach - width:reach - width + n])
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    return value[at[starts]], starts, np.diff(np.append(starts, n))
+    return value[at], at
+
+
+class Runs:
+    """The super-k-mers of some texts, all worked out at once.
+
+    ``found`` has the words of all texts, ``doc`` and ``first`` the text and the
+    place of each run's first window, ``count`` its windows, ``start`` the place
+    counted from the text's own first word.
+    """
+
+    def __init__(self, texts: list[bytes], window: int, mer: int):
+        split = [w.spaced_words(t) for t in texts]
+        self.found = list(chain.from_iterable(split))
+        self.h = w.hashes(self.found)
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        begin = np.cumsum(size) - size
+        n = max(len(self.h) - window + 1, 0)
+        self.value, self.first = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.doc = self.start = self.count = self.first
+        if not n:
+            return
+        value, at = minimisers(self.h, window, mer)
+        doc = np.repeat(np.arange(len(split)), size)[:n]
+        whole = np.flatnonzero(np.arange(n) + window <= (begin + size)[doc])
+        if not len(whole):
+            return
+        new = (np.diff(whole) != 1) | (np.diff(at[whole]) != 0) | (np.diff(doc[whole]) != 0)
+        edge = np.concatenate(([0], np.flatnonzero(new) + 1))
+        self.first = whole[edge]
+        self.count = np.diff(np.append(edge, len(whole)))
+        self.value, self.doc = value[self.first], doc[self.first]
+        self.start = self.first - begin[self.doc]
 
 
 def offsets(found: list[bytes]) -> np.ndarray:
@@ -68,11 +100,11 @@ def offsets(found: list[bytes]) -> np.ndarray:
         np.fromiter(map(len, found), np.int64, len(found)) + 1)))
 
 
-def rows_of(batch):
-    """(doc_id, text_key, text) with null ids last."""
-    for key, text in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(),
-                         frames.texts(batch)):
-        yield LAST if key is None else key, signed(xxhash.xxh3_64_intdigest(text)), text
+def keys_of(batch, bodies: list[bytes]) -> tuple[list[int], list[int]]:
+    """doc_id with nulls last, text_key."""
+    ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+    return ([LAST if i is None else i for i in ids],
+            [signed(xxhash.xxh3_64_intdigest(b)) for b in bodies])
 
 
 def hot_minimisers(docs: DataFrame, window: int, mer: int, crowded: int) -> list[int]:
@@ -80,8 +112,8 @@ def hot_minimisers(docs: DataFrame, window: int, mer: int, crowded: int) -> list
     ``HOT_SET`` largest.  This decides how windows travel, never what is found."""
     def count(batches):
         for batch in batches:
-            found = [super_kmers(w.hashes(w.spaced_words(t)), window, mer)[0]
-                     for t in frames.texts(batch)]
+            found = [Runs(frames.texts(part), window, mer).value
+                     for part in frames.slices([batch])]
             value, times = np.unique(np.concatenate([np.empty(0, np.uint64), *found]),
                                      return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -92,47 +124,96 @@ def hot_minimisers(docs: DataFrame, window: int, mer: int, crowded: int) -> list
     return [r[0] for r in counts.orderBy(F.desc("n"), "value").limit(HOT_SET).collect()]
 
 
+class Outbox:
+    """What a task sends: packed strings by bucket, and spans it has settled."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.empty()
+
+    def empty(self):
+        self.held, self.size = {}, 0
+        self.single: dict[bytes, tuple[int, list]] = {}
+        self.settled: list[tuple[int, int, int]] = []
+
+    def add(self, bucket: int, meta: tuple, body: bytes):
+        metas, bodies = self.held.setdefault(bucket, ([], []))
+        metas.append(meta)
+        bodies.append(body)
+        self.size += len(body)
+
+    def add_single(self, body: bytes, doc: int, key: int, start: int):
+        """A window of a crowded minimiser: keep those of the least document."""
+        have = self.single.get(body)
+        if have is None or doc < have[0]:
+            if have is None:
+                self.size += len(body)
+            else:
+                self.settled.extend((have[0], *x) for x in have[1])
+            self.single[body] = (doc, [(key, start)])
+        elif doc == have[0]:
+            have[1].append((key, start))
+        else:
+            self.settled.append((doc, key, start))
+
+    def sent(self, window: int):
+        for body, (doc, places) in self.single.items():
+            bucket = xxhash.xxh3_64_intdigest(body) % self.buckets
+            for key, start in places:
+                self.add(bucket, (doc, key, start, 1), body)
+        press = zstandard.ZstdCompressor(level=3)
+        order = sorted(self.held)
+        for some in range(0, len(order), 64):
+            part = order[some:some + 64]
+            yield rows_to_send(
+                part, [np.array(self.held[b][0], np.int64) for b in part],
+                [press.compress(b"\n".join(self.held[b][1])) for b in part])
+        if self.settled:
+            doc, key, start = np.array(sorted(self.settled), np.int64).T
+            spans = stretches(doc, key, start, np.ones(len(doc), bool), window)
+            meta = np.stack([c.to_numpy() for c in spans.columns], axis=1)
+            to = (w.mix(meta[:, 0].astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+            part = np.unique(to).tolist()
+            yield rows_to_send(part, [meta[to == b] for b in part], [b""] * len(part))
+        self.empty()
+
+
+def rows_to_send(buckets, metas, bodies) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets, pa.int32()), pa.array([m.tobytes() for m in metas], pa.binary()),
+         pa.array(bodies, pa.binary())], ["bucket", "meta", "body"])
+
+
 def packed(docs: DataFrame, buckets: int, hot: list[int], window: int, mer: int) -> DataFrame:
-    """bucket, meta (doc_id, text_key, first window, windows), body (the packed
-    strings, one a line, compressed)."""
-    skip = docs.sparkSession.sparkContext.broadcast(
+    """bucket, meta, body: packed strings (one a line, compressed) with doc_id,
+    text_key, first window and number of windows; or, where body is empty,
+    settled spans as doc_id, text_key, start, end."""
+    crowded = docs.sparkSession.sparkContext.broadcast(
         np.array(sorted(hot), np.int64).view(np.uint64))
 
-    def sent(held):
-        press = zstandard.ZstdCompressor(level=3)
-        for some in range(0, len(held), 64):
-            part = sorted(held)[some:some + 64]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(part, pa.int32()),
-                pa.array([np.array(held[b][0], np.int64).tobytes() for b in part], pa.binary()),
-                pa.array([press.compress(b"\n".join(held[b][1])) for b in part], pa.binary()),
-            ], ["bucket", "meta", "body"])
-
     def pack(batches):
-        held, size = {}, 0
+        out = Outbox(buckets)
         for batch in frames.slices(batches):
-            for doc, key, text in rows_of(batch):
-                found = w.spaced_words(text)
-                value, starts, counts = super_kmers(w.hashes(found), window, mer)
-                if not len(value):
-                    continue
-                line, at = b" ".join(found), offsets(found)
-                a, b = at[starts], at[starts + counts + window - 1] - 1
-                bucket = (w.mix(value + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-                if len(skip.value):
-                    cold = ~np.isin(value, skip.value)
-                    a, b, bucket = a[cold], b[cold], bucket[cold]
-                    starts, counts = starts[cold], counts[cold]
-                for x, y, k, s, c in zip(a.tolist(), b.tolist(), bucket.tolist(),
-                                         starts.tolist(), counts.tolist()):
-                    meta, body = held.setdefault(k, ([], []))
-                    meta.append((doc, key, s, c))
-                    body.append(line[x:y])
-                size += int((b - a).sum())
-                if size >= BUFFER_BYTES:
-                    yield from sent(held)
-                    held, size = {}, 0
-        yield from sent(held)
+            bodies = frames.texts(batch)
+            ids, keys = keys_of(batch, bodies)
+            runs = Runs(bodies, window, mer)
+            if not len(runs.value):
+                continue
+            line, at = b" ".join(runs.found), offsets(runs.found)
+            bucket = (w.mix(runs.value + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+            single = (np.isin(runs.value, crowded.value) if len(crowded.value)
+                      else np.zeros(len(bucket), bool))
+            a, b = at[runs.first], at[runs.first + runs.count + window - 1] - 1
+            for x, y, k, d, s, c, one, f in zip(*(v.tolist() for v in (
+                    a, b, bucket, runs.doc, runs.start, runs.count, single, runs.first))):
+                if one:
+                    for i in range(c):
+                        out.add_single(line[at[f + i]:at[f + i + window] - 1], ids[d], keys[d], s + i)
+                else:
+                    out.add(k, (ids[d], keys[d], s, c), line[x:y])
+            if out.size >= BUFFER_BYTES or len(out.settled) >= 1 << 18:
+                yield from out.sent(window)
+        yield from out.sent(window)
 
     return docs.mapInArrow(pack, "bucket int, meta binary, body binary")
 
@@ -145,9 +226,8 @@ def stretches(doc, key, start, flagged, window: int) -> pa.RecordBatch:
     ``start`` make a run."""
     doc, key, start = doc[flagged], key[flagged], start[flagged]
     if len(doc):
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-                              | (start[1:] != start[:-1] + 1)))
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate((
+            [True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1))))
         last = np.append(first[1:], len(doc)) - 1
         doc, key, start, end = doc[first], key[first], start[first], start[last] + window
     else:
@@ -161,28 +241,48 @@ def repeated(meta: np.ndarray, bodies: list[bytes], window: int) -> pa.RecordBat
     body = b"\n".join(bodies)
     found = body.split()
     at, h = offsets(found), w.rolling(w.hashes(found), window)
-    run = np.repeat(np.arange(len(meta)), meta[:, 3])
-    nth = np.arange(len(run)) - np.repeat(np.cumsum(meta[:, 3]) - meta[:, 3], meta[:, 3])
-    place = (np.cumsum(meta[:, 3] + window - 1) - (meta[:, 3] + window - 1))[run] + nth
-    doc, order = meta[run, 0], np.argsort(h[place])
-    value = h[place][order]
-    first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    size = np.diff(np.append(first, len(value)))
-    low, high = (f.reduceat(doc[order], first) for f in (np.minimum, np.maximum))
-    flagged = np.zeros(len(run), bool)
-    # Windows of equal hash in several documents: least document by content.
-    for k in np.flatnonzero((size > 1) & (low < high)).tolist():
-        members = order[first[k]:first[k] + size[k]]
-        p = place[members]
-        text = [body[x:y] for x, y in zip(at[p].tolist(), (at[p + window] - 1).tolist())]
-        if text.count(text[0]) == len(text):
-            flagged[members] = doc[members] > low[k]
-            continue
-        least = {}
-        for t, d in zip(text, doc[members].tolist()):
-            least[t] = min(d, least.get(t, d))
-        flagged[members] = [d > least[t] for t, d in zip(text, doc[members].tolist())]
-    return stretches(doc, meta[run, 1], meta[run, 2] + nth, flagged, window)
+    count, words = meta[:, 3], meta[:, 3] + window - 1
+    run = np.repeat(np.arange(len(meta)), count)
+    nth = np.arange(len(run)) - (np.cumsum(count) - count)[run]
+    place = (np.cumsum(words) - words)[run] + nth
+    value, flagged = h[place], np.zeros(len(run), bool)
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
+    # Windows whose hash comes up again, by hash, then document, then place.
+    some = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    some = some[np.lexsort((some, meta[run[some], 0], value[some]))]
+    if len(some):
+        first = np.concatenate(([True], value[some][1:] != value[some][:-1]))
+        least = some[np.flatnonzero(first)][np.cumsum(first) - 1]
+        more = meta[run[some], 0] > meta[run[least], 0]
+        window_at, least_at = some[more], least[more]
+        back = np.argsort(window_at)
+        window_at, least_at = window_at[back], least_at[back]
+        flagged[window_at] = True
+        if not equal_bytes(body, at, place[window_at], place[least_at], window):
+            flagged = by_content(body, at, place, meta[run, 0], window)
+    return stretches(meta[run, 0], meta[run, 1], meta[run, 2] + nth, flagged, window)
+
+
+def equal_bytes(body: bytes, at: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> bool:
+    """Whether windows at ``a`` have the words of those at ``b``; windows that go
+    on by one word in both are compared together."""
+    if not len(a):
+        return True
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 1) | (np.diff(b) != 1))))
+    last = np.append(first[1:], len(a)) - 1
+    ends = [at[x[last] + window] - 1 for x in (a, b)]
+    return all(body[p:q] == body[r:s] for p, q, r, s in zip(
+        at[a[first]].tolist(), ends[0].tolist(), at[b[first]].tolist(), ends[1].tolist()))
+
+
+def by_content(body: bytes, at: np.ndarray, place, doc, window: int) -> np.ndarray:
+    """The same for a bucket where different windows have one hash."""
+    texts = [body[x:y] for x, y in zip(at[place].tolist(), (at[place + window] - 1).tolist())]
+    least: dict[bytes, int] = {}
+    for t, d in zip(texts, doc.tolist()):
+        least[t] = min(d, least.get(t, d))
+    return np.array([d > least[t] for t, d in zip(texts, doc.tolist())], bool)
 
 
 def bucket_spans(rows: DataFrame, window: int) -> DataFrame:
@@ -196,52 +296,28 @@ def bucket_spans(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 bucket, meta, body = (batch.column(i)[at].as_py() for i in range(3))
+                meta = np.frombuffer(meta, np.int64).reshape(-1, 4)
+                if not body:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in meta.T], [c.split()[0] for c in REMOVED.split(", ")])
+                    continue
                 if bucket != current:
                     yield from done()
                     current, metas, bodies = bucket, [], []
-                metas.append(np.frombuffer(meta, np.int64).reshape(-1, 4))
+                metas.append(meta)
                 bodies.extend(open_.decompress(body).split(b"\n"))
         yield from done()
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, REMOVED)
 
 
-def hot_spans(docs: DataFrame, hot: list[int], window: int, mer: int) -> DataFrame:
-    """The same for windows of crowded minimisers, each window a row."""
-    wanted = docs.sparkSession.sparkContext.broadcast(
-        np.array(sorted(hot), np.int64).view(np.uint64))
-
-    def explode(batches):
-        for batch in frames.slices(batches):
-            out = []
-            for doc, key, text in rows_of(batch):
-                found = w.spaced_words(text)
-                value, starts, counts = super_kmers(w.hashes(found), window, mer)
-                mine = np.isin(value, wanted.value)
-                if mine.any():
-                    line, at = b" ".join(found), offsets(found)
-                    for s, c in zip(starts[mine].tolist(), counts[mine].tolist()):
-                        out.extend((line[at[i]:at[i + window] - 1], doc, key, i)
-                                   for i in range(s, s + c))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                ["words", "doc_id", "text_key", "start"])
-
-    rows = docs.mapInArrow(explode, "words binary, doc_id long, text_key long, start long")
-    least = rows.groupBy("words").agg(F.min("doc_id").alias("least"))
-    return (rows.join(least, "words").filter("doc_id > least")
-            .select("doc_id", "text_key", "start", (F.col("start") + window).alias("end")))
-
-
 def removed_spans(docs: DataFrame, window: int = WINDOW, mer: int = MER,
                   crowded: int = CROWDED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, text_key, start, end: word spans to remove (may overlap)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-3 * size // bucket_bytes))
     hot = hot_minimisers(docs, window, mer, crowded)
-    spans = bucket_spans(packed(docs, buckets, hot, window, mer), window)
-    return spans.unionByName(hot_spans(docs, hot, window, mer)) if hot else spans
+    return bucket_spans(packed(docs, buckets, hot, window, mer), window)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -256,7 +332,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
     keyed = frames.arrow_map(
-        texts, lambda b: {"i": [r[0] for r in rows_of(b)], "k": [r[1] for r in rows_of(b)]},
+        texts, lambda b: dict(zip(("i", "k"), keys_of(b, frames.texts(b)))),
         "i long, k long", ("doc_id", "text"))
     joined = (keyed.withColumn("row", F.struct("i", "k")).join(grouped, "row", "left")
               .select("doc_id", "text", "spans"))
