@@ -101,6 +101,11 @@ def test_links_of_random_balls(spark, crowded):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_buckets_follow_the_table():
+    assert simhash.first_bits(0, 2000) == simhash.first_bits(400_000, 2000) == 16
+    assert [simhash.first_bits(10 ** n, 2000) for n in (6, 7, 9, 12)] == [24, 24, 32, 40]
+
+
 def test_empty(spark):
     assert found(simhash.near_duplicates(documents(spark, []))) == []
     assert simhash.keep_one(documents(spark, [])).collect() == []

@@ -6,9 +6,9 @@ inequality.  So every distinct fingerprint stands for the ball of all its
 variants within ``RADIUS // 2``, and those sharing a variant are linked: to the
 least of them, which loses no connection and never writes out pairs.
 
-The shuffle is on the leading bits of the variants.  A fingerprint travels once
-to each value of those bits that a variant of it has (137 for 16 bits), not
-once for each of its 2,081 variants; the variants themselves are made next to
+The shuffle is on the leading bits of the variants (16, or more for many
+fingerprints).  A fingerprint travels once to each value of those bits that a
+variant of it has (137 for 16 bits), not once for each of its 2,081 variants; the variants themselves are made next to
 the others of their bucket, sorted in blocks of bounded size, and colliding
 fingerprints are merged there, so that a block gives at most one link for each
 fingerprint.  Buckets with more than ``CROWDED`` fingerprints are dealt again
@@ -39,8 +39,9 @@ from touchline.llm import frames, words as w
 SHINGLE = 4
 RADIUS = 4
 FIRST_BITS, MORE_BITS = 16, 8
-#: Fingerprints a bucket may have before it is dealt on more bits.
-CROWDED = 20_000
+#: Fingerprints a bucket may have before it is dealt on more bits (each has about
+#: a thousand variants in it, all in memory at once).
+CROWDED = 2_000
 #: Variants sorted at once in a task.
 BLOCK = 1 << 20
 SEED = 42
@@ -198,9 +199,18 @@ def dealt(rows: DataFrame, bits: int, more: int) -> DataFrame:
     )
 
 
+def first_bits(count: int, crowded: int) -> int:
+    """So many leading bits that an average bucket is far from crowded."""
+    for bits in range(FIRST_BITS, 40, MORE_BITS):
+        if count * len(masks(0, bits, RADIUS // 2)) <= crowded / 2 * (1 << bits):
+            return bits
+    return 40
+
+
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Connecting links (a > b) among distinct fingerprints within RADIUS."""
-    found, rows, bits, more = [], distinct.withColumn("bucket", F.lit(0).cast("long")), 0, FIRST_BITS
+    found, rows, bits = [], distinct.withColumn("bucket", F.lit(0).cast("long")), 0
+    more = first_bits(distinct.count(), crowded)
     while True:
         rows, bits = dealt(rows, bits, more), bits + more
         if bits == 64:
