@@ -38,7 +38,7 @@ def test_library_in_unigram_mode():
                         for _ in range(rng.randrange(1, 12)))
         want = model.encode(text)
         found = plain(text)
-        assert found == np.frombuffer(SEGMENTER.encode(text), "<i4").tolist()
+        assert found == np.frombuffer(SEGMENTER.encode([text])[0], "<i4").tolist()
         assert model.decode(found) == text
         if found != want:
             assert sum(map(score.get, found)) > sum(map(score.get, want))
@@ -70,6 +70,21 @@ def test_chunks(spark, monkeypatch, chunk, fan):
         (str(d), t or "") for d, t, _ in rows)
 
 
+def test_units_at_once_or_one_by_one(monkeypatch):
+    """The search in arrays finds what the plain one finds, and the same scores."""
+    rng = random.Random(9)
+    units = sorted({"".join(rng.choice(" eént\n▁日x\U0001f600") for _ in range(rng.randrange(1, 30)))
+                    for _ in range(500)} | {"x" * 3000, " " * 500, "the"})
+    for batch in (1, 100, 1 << 19):
+        monkeypatch.setattr(pieces, "BATCH_CHARS", batch)
+        fresh = pieces.Segmenter(WORDS)
+        fresh.learn(units)
+        for u in units:
+            best, back = fresh.best(u, len(u), [0.0])
+            ids = fresh.trace(u, back, len(u))[1]
+            assert fresh.memo[u] == (best[-1], np.array(ids, "<i4").tobytes())
+
+
 def test_matrices_are_associative():
     rng = np.random.default_rng(0)
     a, b, c = (rng.integers(-50, 0, (5, 5)).astype(float) for _ in range(3))
