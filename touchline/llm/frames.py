@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows handed to the per-document code at once.
+#: Rows, and about so many bytes, handed to the per-document code at once.
 ROWS = 512
+BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,8 +52,10 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        fit = BYTES * batch.num_rows // max(batch.nbytes, 1)
+        step = max(1, min(ROWS, fit))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -73,8 +77,6 @@ def arrow_map(
     added = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     kept = [f for f in df.schema.fields if f.name in carry]
     out = type(df.schema)([*kept, *added.fields])
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
 
     def run(batches):

@@ -241,6 +241,7 @@ def repeated(meta: np.ndarray, bodies: list[bytes], window: int) -> pa.RecordBat
     body = b"\n".join(bodies)
     found = body.split()
     at, h = offsets(found), w.rolling(w.hashes(found), window)
+    del found  # as large as all the rest
     count, words = meta[:, 3], meta[:, 3] + window - 1
     run = np.repeat(np.arange(len(meta)), count)
     nth = np.arange(len(run)) - (np.cumsum(count) - count)[run]
