@@ -52,9 +52,9 @@ from touchline.llm.simhash import signed
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 FAN = 64
-MEMO = 300_000
+MEMO = 120_000
 #: Characters of units that are segmented at once.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 16
 PREFIX_BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = "▁"
 NEVER = float("-inf")
