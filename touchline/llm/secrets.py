@@ -4,12 +4,13 @@ Three fixed patterns (assignments, access keys, long hex runs) are found by
 splitting the text at their matches: the pieces between and the matches
 themselves give every position.  Besides, every candidate string (a run of at
 least ``WINDOW`` key characters) is walked by a window of ``WINDOW``
-characters.  The walk keeps the count of each character of the candidate's
-class (hex or base64); a step takes one character out and one in, and corrects
-the sum of c * log2(c) by those two counts, so the Shannon entropy of each
-window costs no new count.  The stretch from the first to the last window whose
-entropy reaches the class's threshold is a further span, unless the candidate is
-on the allow-list or the span touches one of a fixed pattern.
+characters.  The walk keeps the count of each key character; a step takes one
+character out and one in, and corrects the sum of c * log2(c) by those two
+counts, so the Shannon entropy of each window costs no new count.  A window is
+of the hex class inside a token (a run between separators) that is hex of one
+case, and of the base64 class elsewhere.  The stretch from the first to the last
+window whose entropy reaches its class's threshold is a further span, unless the
+candidate is on the allow-list or the span touches one of a fixed pattern.
 
 Entropies are compared as integers (2 ** -20 bit), so that results do not
 depend on rounding.  Rows are neither moved nor gathered.
@@ -46,6 +47,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bits a character in a window; of a random string about 3.4 (hex), 4.1 (base64).
 THRESHOLDS = {"hex": 2.9, "base64": 3.75}
 HEX_CLASS = r"^(?:[0-9a-f]+|[0-9A-F]+)$"
+#: Before and after each separator; a token of digits alone is not hex.
+TOKEN_EDGE = r"(?<=[+/_=-])|(?=[+/_=-])"
+HEX_TOKEN = r"^(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$"
 #: Candidates that are no secrets: numbers, words, words joined by separators,
 #: UUIDs, samples, and alphabets or digits in order.
 ALLOWED = (
@@ -131,14 +135,15 @@ def walked(candidate: Column) -> Column:
     """First and last window of the candidate with enough entropy (or nulls)."""
     terms = F.array(*[F.lit(t).cast("long") for t in count_terms()])
     codes = F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    limit = F.when(F.rlike(candidate, F.lit(HEX_CLASS)), F.lit(sum_limit("hex"))).otherwise(
-        F.lit(sum_limit("base64")))
-    return bound(F.struct(codes.alias("codes"), limit.alias("limit")),
-                 lambda x: walk(x["codes"], x["limit"], terms))
+    hexes = F.flatten(F.transform(F.split(candidate, TOKEN_EDGE, -1), lambda t: F.array_repeat(
+        F.rlike(t, F.lit(HEX_TOKEN)), F.length(t))))
+    return bound(F.struct(codes.alias("codes"), hexes.alias("hexes")),
+                 lambda x: walk(x["codes"], x["hexes"], terms))
 
 
-def walk(codes: Column, limit: Column, terms: Column) -> Column:
-    """The windows of a candidate, given as places in ``ALPHABET``."""
+def walk(codes: Column, hexes: Column, terms: Column) -> Column:
+    """The windows of a candidate, given as places in ``ALPHABET`` and whether
+    each character is in a hex token."""
     def step(acc: Column, i: Column) -> Column:
         came = F.get(codes, i)
         went = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0))
@@ -148,16 +153,19 @@ def walk(codes: Column, limit: Column, terms: Column) -> Column:
              - F.get(terms, n_came) + F.get(terms, n_came + 1))
         counts = F.transform(acc["n"], lambda n, j: n + F.when(j == came - 1, 1).otherwise(0)
                              - F.when(j == went - 1, 1).otherwise(0))
+        other = F.when(F.get(hexes, i), acc["other"]).otherwise(i)
+        limit = F.when(i - other >= WINDOW, F.lit(sum_limit("hex"))).otherwise(
+            F.lit(sum_limit("base64")))
         hot = (i >= WINDOW - 1) & (s <= limit)
         at = i - (WINDOW - 1)
         return F.struct(
-            counts.alias("n"), s.alias("s"),
+            counts.alias("n"), s.alias("s"), other.alias("other"),
             F.when(hot, F.coalesce(acc["first"], at)).otherwise(acc["first"]).alias("first"),
             F.when(hot, at).otherwise(acc["last"]).alias("last"))
 
     zero = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"),
-        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        F.lit(-1).alias("other"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step,
                        lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
