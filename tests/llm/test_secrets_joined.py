@@ -49,8 +49,27 @@ def test_prefixed_hex(spark):
         assert spans == stretch(text, a + k)
     assert len(texts) > 50
     # Digits alone are no hex, and a whole hex candidate is as before.
-    rest = ["order_12345678901234567890", "x " + drawn("0123456789ABCDEF", 40), drawn("0123456789abcdef", 24)]
+    rest = ["id=73519284061735192840", "x " + drawn("0123456789ABCDEF", 40), drawn("0123456789abcdef", 24)]
     assert found(spark, rest)[0] == []
     for t, spans in zip(rest, found(spark, rest)):
         assert [f"entropy:{a}:{b}" for a, b in spans] == [
             s for s in plain(t)[-1].split(",") if s.startswith("entropy")]
+
+
+def test_joined_to_patterns_and_samples(spark):
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key, access = "".join(RNG.sample(b64, 40)), "AKIA" + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
+    low = drawn("0123456789abcdef", 32)
+    alphabet = b64 + "+/"
+    texts = [f"é {access}/{key} x", f"{key}/{low}", f"v1/example/{key} x", f"EXAMPLE={key}",
+             f"{key}-{access}-{key}", f"{access}/words-joined-to-others-by-lines", alphabet,
+             f"abcdefghij/{key}", "/".join(["an/example"] * 5), alphabet[::-1][:2] + alphabet]
+    got = found(spark, texts)
+    assert got[5] == got[6] == got[8] == got[9] == []
+    for i in (0, 1, 2, 3, 4, 7):
+        at = texts[i].index(key)
+        assert any(a <= at and b >= at + 40 for a, b in got[i])
+    last = texts[4].rindex(key)
+    assert len(got[4]) == 2 and got[4][1][0] <= last and got[4][1][1] == last + 40
+    clean = secrets.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert not any(key[5:25] in r.text or access in r.text for r in clean.collect())

@@ -11,6 +11,8 @@ of the hex class inside a token (a run between separators) that is hex of one
 case, and of the base64 class elsewhere.  The stretch from the first to the last
 window whose entropy reaches its class's threshold is a further span, unless the
 candidate is on the allow-list or the span touches one of a fixed pattern.
+Sample words and alphabets cut a candidate; what fixed patterns leave of one, if
+joined to them by a separator, is a candidate of its own.
 
 Entropies are compared as integers (2 ** -20 bit), so that results do not
 depend on rounding.  Rows are neither moved nor gathered.
@@ -50,14 +52,24 @@ HEX_CLASS = r"^(?:[0-9a-f]+|[0-9A-F]+)$"
 #: Before and after each separator; a token of digits alone is not hex.
 TOKEN_EDGE = r"(?<=[+/_=-])|(?=[+/_=-])"
 HEX_TOKEN = r"^(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$"
-#: Candidates that are no secrets: numbers, words, words joined by separators,
-#: UUIDs, samples, and alphabets or digits in order.
+#: Candidates that are no secrets: numbers, words, words joined by separators
+#: and UUIDs.
 ALLOWED = (
     r"^[0-9+/_=-]+$", r"^[A-Z]?[a-z]+$", r"^[A-Z]+$",
     r"^[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*[+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"EXAMPLE|example", r"0123456789|abcdefghij|ABCDEFGHIJ",
 )
+#: Sample words, and alphabets or digits in order, are no secrets; what is before
+#: and after them may be.
+SAMPLES = (r"EXAMPLE|example|0123456789"
+           r"|abcdefghij(?:k(?:l(?:m(?:n(?:o(?:p(?:q(?:r(?:s(?:t(?:u(?:v(?:w(?:x(?:yz?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?"
+           r"|ABCDEFGHIJ(?:K(?:L(?:M(?:N(?:O(?:P(?:Q(?:R(?:S(?:T(?:U(?:V(?:W(?:X(?:YZ?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?")
+#: Stands for each character of a fixed pattern's match; and what is left between
+#: such matches, where a separator joins it to them.
+TAKEN = "\uffff"
+REST = (rf"(?<![A-Za-z0-9+/_=-])(?:(?<!{TAKEN})|(?=[+/_=-]))[A-Za-z0-9+/_=-]{{20,}}+"
+        rf"(?:(?!{TAKEN})|(?<=[+/_=-]))")
+LEADING = r"^[+/_=-]+"
 
 SCALE = 1 << 20
 #: Numbers whose running sums are made at once (the rest by blocks of them).
@@ -177,6 +189,46 @@ def allowed(candidate: Column) -> Column:
     return out
 
 
+def hot_spans(name: str, known: Callable[[Column], Column]) -> Column:
+    """The entropy spans of the matches of ``name`` that are not ``known``."""
+    def pieces(z: Column) -> Column:
+        between = F.split(z["m"], SAMPLES, -1)
+        lengths = F.transform(
+            F.arrays_zip(between.alias("b"), F.regexp_extract_all(
+                z["m"], F.lit(SAMPLES), F.lit(0)).alias("m")),
+            lambda x: F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        return F.filter(
+            F.transform(F.arrays_zip(between.alias("b"), sums_before(lengths).alias("s")),
+                        lambda x: F.struct((z["s"] + x["s"]).alias("s"), x["b"].alias("m"))),
+            lambda x: (F.length(x["m"]) >= WINDOW) & ~allowed(F.regexp_replace(x["m"], LEADING, "")))
+
+    unknown = F.filter(
+        F.arrays_zip(F.col(f"{name}_start").alias("s"), F.col(f"{name}_match").alias("m")),
+        lambda z: ~known(z["m"]))
+    unknown = F.flatten(F.transform(unknown, lambda z: F.when(
+        F.rlike(z["m"], F.lit(SAMPLES)), pieces(z)).otherwise(
+            F.array(F.struct(z["s"].alias("s"), z["m"].alias("m"))))))
+    walks = F.transform(unknown, lambda z: F.struct(z["s"].alias("s"), walked(z["m"]).alias("w")))
+    return F.transform(F.filter(walks, lambda x: x["w"]["first"].isNotNull()), lambda x: span(
+        3, x["s"] + x["w"]["first"], x["s"] + x["w"]["last"] + WINDOW))
+
+
+def without(text: Column, spans: Column) -> Column:
+    """The text with ``TAKEN`` for each character in a span, or null without spans."""
+    return F.when(F.size(spans) > 0, F.aggregate(
+        spans, F.struct(F.array().cast("array<string>").alias("out"),
+                        F.lit(0).cast("long").alias("end")),
+        lambda acc, s: F.struct(
+            F.concat(acc["out"], F.array(
+                F.substring(text, (acc["end"] + 1).cast("int"),
+                            F.greatest(s["start"] - acc["end"], F.lit(0)).cast("int")),
+                F.repeat(F.lit(TAKEN), F.greatest(
+                    s["end"] - F.greatest(s["start"], acc["end"]), F.lit(0)).cast("int"))))
+            .alias("out"), F.greatest(acc["end"], s["end"]).alias("end")),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(
+            text, (acc["end"] + 1).cast("int"), F.length(text)))))
+
+
 def scanned(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``base`` and ``spans``: sorted arrays of (start, kind, end)."""
     names = ("assign", "access", "hex", "candidate")
@@ -200,16 +252,17 @@ def scanned(rows: DataFrame, text: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(F.coalesce(long_enough, none), F.coalesce(matches(1), none),
                                  F.coalesce(matches(2), none)))
     rows = rows.withColumn("base", base)
-    unknown = F.filter(
-        F.arrays_zip(F.col("_candidate_start").alias("s"), F.col("_candidate_match").alias("m")),
-        lambda z: ~allowed(z["m"]))
-    rows = rows.withColumn("_walks", F.transform(unknown, lambda z: F.struct(
-        z["s"].alias("s"), walked(z["m"]).alias("w"))))
-    hot = F.transform(F.filter("_walks", lambda x: x["w"]["first"].isNotNull()), lambda x: span(
-        3, x["s"] + x["w"]["first"], x["s"] + x["w"]["last"] + WINDOW))
-    apart = F.filter(hot, lambda e: ~F.exists("base", lambda b: (
+    rows = rows.withColumn("_hot", hot_spans("_candidate", allowed))
+    apart = F.filter("_hot", lambda e: ~F.exists("base", lambda b: (
         (b["start"] < e["end"]) & (e["start"] < b["end"]))))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(apart, none))))
+    # A stretch that is apart is found once more in the rest, and kept once.
+    rows = cut(rows.withColumn("_left", without(F.col(f"`{text}`"), F.col("base"))),
+               "_left", "_rest", REST)
+    rest = hot_spans("_rest", lambda m: allowed(m) | allowed(
+        F.regexp_replace(m, LEADING, "")))
+    rows = rows.withColumn("_entropy", F.array_distinct(F.concat(
+        F.coalesce(apart, none), F.coalesce(rest, none))))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", "_entropy")))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
