@@ -48,10 +48,11 @@ def chosen_teams(
 
 
 def dashboard_ids(profile: DataFrame, include_top_flight: bool = True) -> DataFrame:
-    """Ids of all the wanted teams, also of those without a complete profile."""
+    """All the wanted teams, also those without a complete profile."""
     wanted = [GIRLS_16, *TOP_FLIGHT] if include_top_flight else [GIRLS_16]
     return profile.filter(F.col("competition").isin(wanted)).select(
-        F.concat_ws("|", "competition", "teamName", "playByUs").alias("team_id"))
+        F.concat_ws("|", "competition", "teamName", "playByUs").alias("team_id"),
+        "competition", "teamName", "playByUs")
 
 
 def with_reason(ids: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -153,17 +154,24 @@ def variable_coordinates(
     return df.withColumn("ranking", rank).filter(F.col("ranking") <= top)
 
 
-def individual_coordinates(scaled: DataFrame) -> DataFrame:
-    """Teams on the first two components, with their display group."""
+def individual_coordinates(scaled: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Teams on the first two components, with their display group.
+
+    With ``ids`` also those of them without a place, and why.
+    """
     group = (
         F.when(F.col("competition") == GIRLS_16,
                F.when(F.col("playByUs") == "true", "Us").otherwise("Opposition"))
         .when(F.col("competition") == BOYS_14, "14s")
         .otherwise("Top-Flight Teams")
     )
-    return on_components(scaled).select(
-        "team_id", "competition", "teamName", "playByUs", group.alias("team_group"),
-        "pca_1", "pca_2")
+    names = ["team_id", "competition", "teamName", "playByUs"]
+    places = on_components(scaled)
+    if ids is None:
+        return places.select(*names, group.alias("team_group"), "pca_1", "pca_2")
+    return ids.join(places.select("team_id", "pca_1", "pca_2"), "team_id", "left").select(
+        *names, group.alias("team_group"), "pca_1", "pca_2",
+        F.when(F.col("pca_1").isNull(), "incomplete profile").alias("reason"))
 
 
 def on_components(scaled: DataFrame) -> DataFrame:
@@ -389,6 +397,15 @@ def ward_merges(
     return reduce(DataFrame.unionByName, merges, empty), teams.select("id", "team_id")
 
 
+def ward_unmerged(scaled: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows like those of ``ward_steps`` for the teams that the tree leaves out."""
+    inside = unit_rows(scaled).select("team_id", F.lit(0).alias("cluster"))
+    listed = with_reason(ids, scaled.select("team_id").join(inside, "team_id", "left"))
+    return listed.filter(F.col("reason").isNotNull()).select(
+        F.lit(None).cast("double").alias("height"), F.col("team_id").alias("team_a"),
+        F.lit(None).cast("string").alias("team_b"), "reason")
+
+
 def ward_steps(scaled: DataFrame) -> DataFrame:
     """The merge table in height order, with team ids for cluster names."""
     merges, teams = ward_merges(scaled)
@@ -399,7 +416,10 @@ def ward_steps(scaled: DataFrame) -> DataFrame:
 
 
 def ward_teams(scaled: DataFrame, k: int = 3) -> DataFrame:
-    """Cluster of each team when the tree is cut into ``k`` groups."""
+    """Cluster of each team when the tree is cut into ``k`` groups.
+
+    Teams without a direction (all features average) get no cluster.
+    """
     merges, teams = ward_merges(scaled)
     cut = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(k - 1)
     kept = stage(merges.join(cut.select("a", "b"), ["a", "b"], "left_anti"))
@@ -414,4 +434,5 @@ def ward_teams(scaled: DataFrame, k: int = 3) -> DataFrame:
         at = step.select("id", "team_id", F.col("top").alias("up"))
         if not moving:
             break
-    return at.select("team_id", F.col("up").alias("cluster"))
+    found = at.select("team_id", F.col("up").alias("cluster"))
+    return scaled.select("team_id").join(found, "team_id", "left")

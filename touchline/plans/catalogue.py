@@ -310,25 +310,35 @@ def pca_variables_top20(spark, sf):
     return rounded(cluster.variable_coordinates(cluster.scaled_vectors(teams(spark, sf))))
 
 
+def listed_teams(spark, sf):
+    """All the wanted teams, and the scaled vectors of those with a complete profile."""
+    profiles = stage(profile.team_profile(plays(spark, sf)))
+    scaled = cluster.scaled_vectors(stage(cluster.dashboard_teams(profiles)))
+    return cluster.dashboard_ids(profiles), scaled
+
+
 def pca_individuals(spark, sf):
-    return rounded(cluster.individual_coordinates(
-        cluster.scaled_vectors(teams(spark, sf))))
+    ids, scaled = listed_teams(spark, sf)
+    return rounded(cluster.individual_coordinates(scaled, ids))
 
 
 def kmeans_teams(spark, sf):
     """Every team; those without a complete profile have no cluster, and a reason."""
-    profiles = stage(profile.team_profile(plays(spark, sf)))
-    found = cluster.kmeans_teams(
-        cluster.scaled_vectors(stage(cluster.dashboard_teams(profiles))))
-    return cluster.with_reason(cluster.dashboard_ids(profiles), found)
+    ids, scaled = listed_teams(spark, sf)
+    return cluster.with_reason(ids, cluster.kmeans_teams(scaled))
 
 
 def ward_teams(spark, sf):
-    return cluster.ward_teams(cluster.scaled_vectors(teams(spark, sf)))
+    """Every team; those outside the tree have no cluster, and a reason."""
+    ids, scaled = listed_teams(spark, sf)
+    return cluster.with_reason(ids, cluster.ward_teams(scaled))
 
 
 def ward_steps(spark, sf):
-    return rounded(cluster.ward_steps(cluster.scaled_vectors(teams(spark, sf))))
+    """The merges, then the teams outside the tree, with a reason."""
+    ids, scaled = listed_teams(spark, sf)
+    steps = cluster.ward_steps(scaled).withColumn("reason", F.lit(None).cast("string"))
+    return rounded(steps.unionByName(cluster.ward_unmerged(scaled, ids)))
 
 
 def cluster_input(spark, sf):
