@@ -9,10 +9,12 @@ trusted documents that the target has not seen, less ``MARGIN``.
 
 The counts are made inside the tasks (one row per bucket and task is
 shuffled), so neither texts nor n-grams move; the model has ``BUCKETS`` numbers
-whatever the corpus, and is what is broadcast.  Target and threshold are fitted
-on at most ``TRUSTED`` labelled documents (those with the smallest hash of
-their id, a fifth of them for the threshold); all other statistics cover all
-rows.  The same tables always give the same verdicts.
+whatever the corpus, and is what is broadcast.  Documents are marked by a join
+with the labels.  All trusted documents count: by the hash of their id, a fifth
+sets the threshold and the others the target.  The held-out scores are staged
+and their quantile found by counts in ever narrower ranges, so that it is exact
+and no more than ``FEW`` scores are gathered.  The same tables always give the
+same verdicts.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 document without n-grams scores 0; each repeated row is counted and judged; an
@@ -22,6 +24,7 @@ that the base rules alone decide.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +37,11 @@ from touchline.llm import frames, words as w
 
 BITS = 16
 BUCKETS = 1 << BITS
-#: Bound on the labelled rows that the target multinomial is fitted on.
-TRUSTED = 20_000
+#: One of so many trusted documents sets the threshold.
+PARTS = 5
+#: Scores that the driver sorts, and ranges that more of them are counted in.
+FEW = 10_000
+RANGES = 1_000
 #: Smoothing: pseudo-counts per bucket, in the proportions of the raw corpus.
 PRIOR = 0.5
 QUANTILE = 0.005
@@ -98,34 +104,48 @@ def measures(text: bytes, found: list[bytes]) -> tuple[int, int, int, int, int,
             len(lines) - len(set(lines)), repeats, n < 20 or 100 * repeats > 30 * n)
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> tuple[list[int], list[int]]:
-    """Ids of at most ``limit`` documents labelled good and harmless: those to
-    fit the target on, and those to set the threshold by."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """doc_id of all documents labelled good and harmless, and whether they are
+    held out for the threshold."""
     good = (labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL")
             .select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    ids = [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
-    return [x for i, x in enumerate(ids) if i % 5], ids[::5]
+    return good.withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == 0)
 
 
-def log_ratios(docs: DataFrame, trusted: list[int]) -> np.ndarray:
+def trusted_ids(labels: DataFrame) -> tuple[list[int], list[int]]:
+    """Ids of the target and of the held-out documents (for small tables)."""
+    rows = trusted(labels).collect()
+    return [r[0] for r in rows if not r[1]], [r[0] for r in rows if r[1]]
+
+
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text and held_out (null where a document is not trusted) of every row."""
+    # Rows without an id match nothing; their texts spread them.
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    left = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text",
+                       F.col("doc_id").isNull().alias("no_id"), spread.alias("spread"))
+    right = trusted(labels).withColumns({"no_id": F.lit(False), "spread": F.lit(0).cast("long")})
+    return left.join(right, ["doc_id", "no_id", "spread"], "left").select("text", "held_out")
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw), for every bucket."""
-    known, size = docs.sparkSession.sparkContext.broadcast(frozenset(trusted)), BUCKETS
+    size = BUCKETS
 
     def count(batches):
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in frames.slices(batches):
-            for key, text in zip(batch.column(0).to_pylist(), frames.texts(batch)):
-                good = key in known.value
+            for held_out, text in zip(batch.column(1).to_pylist(), frames.texts(batch)):
                 for bucket in grams(w.spaced_words(text)):
                     np.add.at(raw, bucket, 1)
-                    if good:
+                    if held_out is False:
                         np.add.at(target, bucket, 1)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])],
             ["bucket", "raw", "target"])
 
-    parts = docs.mapInArrow(count, "bucket int, raw long, target long")
+    parts = marked(docs, labels).mapInArrow(count, "bucket int, raw long, target long")
     rows = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(size), np.zeros(size)
     for bucket, a, b in rows:
@@ -137,27 +157,47 @@ def log_ratios(docs: DataFrame, trusted: list[int]) -> np.ndarray:
     return np.log(q) - np.log(p)
 
 
-def threshold_of(docs: DataFrame, ids: list[int], ratios: np.ndarray) -> float:
-    """The low quantile of the scores of documents ``ids`` (20 words or more)."""
-    spark = docs.sparkSession
-    some = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    model = spark.sparkContext.broadcast(ratios)
+def low_quantile(scores: DataFrame) -> float | None:
+    """The ``QUANTILE`` of column ``score`` (the lower of two), or null if empty."""
+    ends = F.count("score"), F.min("score"), F.max("score")
+    n, low, high = scores.agg(*ends).first()
+    if not n:
+        return None
+    # The wanted score is the one at ``place`` among the n from low to high.
+    place = math.floor(QUANTILE * (n - 1))
+    while n > FEW and low < high:
+        at = F.least(F.lit(RANGES - 1), F.floor(
+            (F.col("score") - low) / (high - low) * RANGES)).cast("int")
+        rows = scores.filter(F.col("score").between(low, high)).groupBy(at.alias("at")).agg(*ends)
+        for _, n, low, high in sorted(map(tuple, rows.collect())):
+            if place < n:
+                break
+            place -= n
+    if low == high:
+        return low
+    few = scores.filter(F.col("score").between(low, high)).collect()
+    return sorted(r[0] for r in few)[place]
+
+
+def threshold_of(docs: DataFrame, labels: DataFrame, ratios: np.ndarray) -> float:
+    """The low quantile of the held-out documents' scores (20 words or more)."""
+    model = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def work(batch):
         found = [w.spaced_words(t) for t in frames.texts(batch)]
         return {"score": [score_of(x, model.value) if len(x) >= 20 else None for x in found]}
 
-    picked = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
-    rows = frames.arrow_map(picked, work, "score double").filter("score IS NOT NULL").collect()
-    return (float(np.quantile([r[0] for r in rows], QUANTILE, method="lower")) - MARGIN
-            if rows else -np.inf)
+    held_out = trusted(labels).filter("held_out").select("doc_id")
+    picked = docs.join(held_out, "doc_id", "left_semi").select("text")
+    scores = frames.arrow_map(picked, work, "score double").filter("score IS NOT NULL")
+    limit = low_quantile(frames.staged(scores))
+    return -np.inf if limit is None else limit - MARGIN
 
 
-def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> tuple[np.ndarray, float]:
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model: log ratios by bucket, and the threshold."""
-    target, held_out = trusted_ids(labels, limit)
-    ratios = log_ratios(docs, target)
-    return ratios, threshold_of(docs, held_out, ratios)
+    ratios = log_ratios(docs, labels)
+    return ratios, threshold_of(docs, labels, ratios)
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, threshold: float,
