@@ -157,3 +157,36 @@ SELECT conv_id, count(*) AS n_turns,
                 + length('</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+      FROM pieces),
+f AS (SELECT lang, size, list_aggregate(ws[pos + 1:pos + size], 'string_agg', ' ') AS phrase,
+             count(*) AS f
+      FROM (SELECT lang, ws, size, unnest(range(len(ws) - size + 1)) AS pos
+            FROM w, (VALUES (1), (2), (3)) AS s(size) WHERE len(ws) >= size)
+      GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws
+      FROM f WHERE size > 1 AND f >= 10),
+cuts AS (SELECT *, array_to_string(ws[:k], ' ') AS p, array_to_string(ws[k + 1:], ' ') AS q
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT cuts.*, x.f AS l, y.f AS r,
+                  CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p
+                JOIN f y ON y.lang = cuts.lang AND y.phrase = q),
+best AS (SELECT * FROM scored
+         QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_pairs AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS longer
+                FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_pairs o
+           ON best.lang = o.lang AND best.phrase = o.phrase
+         WHERE o.longer IS NULL OR 100 * o.longer < 50 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""

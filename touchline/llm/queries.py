@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import (
-    chat, decontaminate, frames, oracle, pieces, pii, quality, secrets, sharding,
+    chat, collocations, decontaminate, frames, oracle, pieces, pii, quality, secrets, sharding,
     simhash, substrings, warc)
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
@@ -63,9 +63,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_chats(turns.unionByName(chat.probe(spark))))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_sharding, op3_simhash, op4_substrings, op5_pieces, op6_warc,
-    op7_secrets, op8_pii, op9_quality, op10_chat)}
+    op7_secrets, op8_pii, op9_quality, op10_chat,
+    op13_collocations)}
 
 #: The others have hashes, models or tables that SQL does not; tests compare
 #: them with plain versions.
@@ -75,4 +80,5 @@ ORACLE = {
     "op6_warc": oracle.ARCHIVE,
     "op7_secrets": oracle.SECRETS,
     "op10_chat": oracle.CHATS,
+    "op13_collocations": oracle.PHRASES,
 }
