@@ -190,3 +190,59 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        phrase, a, l, r, n, score
 FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """
+
+# Label, notice, edits allowed, words that must be unchanged.
+_NOTICES = [
+    ("mit", "mit license", 1, 1),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 5, 0),
+    ("apache", "apache license", 1, 1),
+    ("apache", "you may not use this file except in compliance with the license", 4, 0),
+    ("gpl", "general public license", 2, 1),
+    ("lgpl", "lesser general public license", 2, 1),
+    ("agpl", "affero general public license", 2, 1),
+    ("bsd", "bsd license", 1, 1),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", 5, 0),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", 5, 0),
+    ("mpl", "mozilla public license", 2, 1),
+    ("epl", "eclipse public license", 2, 1),
+    ("cc", "creative commons attribution", 2, 1),
+    ("cc", "licensed under cc by", 1, 0),
+    ("unlicense", "free and unencumbered software released into the public domain", 4, 0)]
+
+# With k edits, a run has one of k + 1 parts of the notice unchanged.
+_PARTS = ", ".join(
+    f"('{label}', '{text}', {edits}, '{' '.join(text.split()[:fixed])}', "
+    f"{[text[len(text) * i // (edits + 1):len(text) * (i + 1) // (edits + 1)] for i in range(edits + 1)]})"
+    for label, text, edits, fixed in _NOTICES)
+
+LICENSES = f"""
+WITH {DOCS},
+w AS (SELECT rid, doc_id, ws, array_to_string(ws, ' ') AS line
+      FROM (SELECT rid, doc_id, {plain_words('t')} AS ws FROM d)),
+exact AS (SELECT rid, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1:i + len(p)] = p)) AS place, label
+          FROM w, (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'),
+                          (['general', 'public', 'license'], 'gpl')) AS b(p, label)
+          WHERE line LIKE '%license%'),
+base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM exact GROUP BY rid),
+notices(label, notice, edits, fixed, parts) AS (VALUES {_PARTS}),
+likely AS (SELECT rid, ws, n.* FROM w, notices n
+           WHERE len(list_filter(parts, lambda x: contains(line, x))) > 0),
+begun AS (SELECT * FROM (SELECT *, unnest(range(len(ws))) AS i FROM likely)
+          WHERE fixed = '' OR ws[i + 1] = fixed),
+runs AS (SELECT *, array_to_string(ws[i + 1:i + m], ' ') AS run
+         FROM (SELECT *, unnest(range(greatest(1, len(string_split(notice, ' ')) - edits),
+                                      len(string_split(notice, ' ')) + edits + 1)) AS m FROM begun)
+         WHERE i + m <= len(ws)),
+close AS (SELECT rid, label, notice, levenshtein(run, notice) AS e FROM runs
+          WHERE abs(strlen(run) - strlen(notice)) <= edits AND levenshtein(run, notice) <= edits),
+scores AS (SELECT rid, max(1.0::DOUBLE - e / strlen(notice)) AS score FROM close GROUP BY rid),
+names AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels
+          FROM (SELECT rid, label, true AS is_base FROM exact
+                UNION ALL SELECT rid, label, false FROM close) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+       first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base USING (rid) LEFT JOIN scores USING (rid) LEFT JOIN names USING (rid)
+"""

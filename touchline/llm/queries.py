@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import (
-    chat, collocations, decontaminate, frames, oracle, pieces, pii, quality, secrets, sharding,
-    simhash, substrings, warc)
+    chat, collocations, decontaminate, frames, licenses, oracle, pieces, pii, quality, secrets,
+    sharding, simhash, substrings, warc, whitening)
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -63,6 +63,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_chats(turns.unionByName(chat.probe(spark))))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.find_notices(table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -70,7 +78,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_sharding, op3_simhash, op4_substrings, op5_pieces, op6_warc,
     op7_secrets, op8_pii, op9_quality, op10_chat,
-    op13_collocations)}
+    op11_licenses, op12_whitening, op13_collocations)}
 
 #: The others have hashes, models or tables that SQL does not; tests compare
 #: them with plain versions.
@@ -80,5 +88,6 @@ ORACLE = {
     "op6_warc": oracle.ARCHIVE,
     "op7_secrets": oracle.SECRETS,
     "op10_chat": oracle.CHATS,
+    "op11_licenses": oracle.LICENSES,
     "op13_collocations": oracle.PHRASES,
 }

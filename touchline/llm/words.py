@@ -24,9 +24,14 @@ def spaced_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def spaced(text: bytes) -> bytes:
+    """The text, lower-cased, with a space for every byte that is in no word."""
+    return text.translate(_ALNUM)
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Lower-cased runs of letters, digits and non-ASCII characters."""
-    return text.translate(_ALNUM).split()
+    return spaced(text).split()
 
 
 def code_points(data: bytes) -> int:
