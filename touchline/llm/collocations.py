@@ -9,12 +9,11 @@ of its own for each phrase length.
 
 What moves is kept small without changing a result.  Nothing but phrases of
 ``LEAST`` or more occurrences (and their parts, which are as frequent) enters a
-score, so a first pass counts pairs of words by a 64-bit hash, and marks the
-frequent hashes in a bitmap of ``BITS`` bits (16 MB at most, whatever the corpus).
-In the second pass a window is padded from the second word on if its first pair
-is not marked, and from the third if its second pair is not: the counts of every
-frequent phrase stay exact, since all its pairs are marked.  A wrongly marked
-pair (the bitmap fills with a very large corpus) only lets more rows through.
+score, so a first pass counts hashes of phrases, and marks the frequent ones in a
+bitmap of ``BITS`` bits (16 MB, whatever the corpus).  In the second pass a window
+is padded after its longest marked beginning: the counts of every frequent phrase
+stay exact, since all its beginnings are marked.  A wrongly marked phrase (the bitmap
+fills with a very large corpus) only lets more rows through.
 
 Counts of parts are joined to the candidates, on keys of which a few may be very
 common: those with a thousandth of all rows (a thousand at most) are broadcast,
@@ -62,7 +61,7 @@ CODE = 21
 PART = (4 << 20) - 64
 #: Hashes that a task sums before it deals them, and bytes of text for each range
 #: of hashes.
-HELD = 2 << 20
+HELD = 3 << 20
 RANGE_BYTES = 8 << 20
 COPIES = 64
 #: Keys with at least one of so many rows are common (so there are no more of them).
@@ -143,7 +142,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[by
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each is there."""
     keys = np.sort(keys)
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])[:len(keys)]))
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)])
     return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
@@ -166,8 +165,9 @@ def hashes_of(lang: bytes, words: list[bytes]) -> np.ndarray:
     return w.mix(np.append(w.hashes(words), np.uint64(0)) ^ w.hashes([lang])[0])
 
 
-def pair_hashes(h: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return w.mix(h[one] * np.uint64(w.BASE) + h[two])
+def joined_hashes(first: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from those of its beginning and of its last word."""
+    return w.mix(first * np.uint64(w.BASE) + following)
 
 
 def ranges_for(texts: DataFrame) -> int:
@@ -177,32 +177,40 @@ def ranges_for(texts: DataFrame) -> int:
     return 1 << max(4, (size // RANGE_BYTES).bit_length())
 
 
+def bit_numbers(hashed: np.ndarray) -> np.ndarray:
+    """The bitmap's bits of hashes: their leading bits, which all travel."""
+    return hashed >> np.uint64(65 - BITS.bit_length())
+
+
 def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
-    """The bitmap of the hashes of words and pairs with ``least`` occurrences.
+    """The bitmap of the hashes of phrases with ``least`` occurrences.
 
-    Hashes travel sorted and packed, a row for each range that a task has any in.
+    Hashes travel sorted and packed, a row for each range that a task has any in:
+    the 32 bits after the range's own, in planes of bytes (the first ones hardly
+    change, so they compress), and counts, held at ``least``.  Equal hashes of
+    different phrases only let more windows through.
     """
-    ranges = ranges_for(texts)
-    shift = np.uint64(64 - ranges.bit_length() + 1)
+    range_bits = ranges_for(texts).bit_length() - 1
+    shift, low = np.uint64(64 - range_bits), np.uint64(32 - range_bits)
+    kind = np.uint8 if least < 256 else np.uint32
 
-    def sums(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        value, f = (np.concatenate(x) for x in zip(*found))
+    def sums(value: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(value)
         value, f = value[order], f[order]
-        starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])[:len(value)]))
+        starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))[:len(value)])
         return value[starts], np.add.reduceat(f, starts) if len(starts) else f
 
     def dealt(found):
-        value, f = sums(found)
-        of = value >> shift
+        value, f = sums(*(np.concatenate(x) for x in zip(*found)))
+        of, rest = value >> shift, (value >> low).astype(">u4")
+        f = np.minimum(f, least).astype(kind)
         edges = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of))
         for at in range(0, len(edges) - 1, 256):
             part = list(zip(edges[at:at + 256], edges[at + 1:at + 257]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(of[x]) for x, _ in part]),
-                 pa.array([value[x:y].tobytes() for x, y in part]),
-                 pa.array([f[x:y].astype(np.int64).tobytes() for x, y in part])],
-                ["range", "hashes", "f"])
+                 pa.array([rest[x:y].view(np.uint8).reshape(-1, 4).T.tobytes() for x, y in part]),
+                 pa.array([f[x:y].tobytes() for x, y in part])], ["range", "hashes", "f"])
 
     def count(batches):
         found, size = [], 0
@@ -210,9 +218,15 @@ def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
             h = hashes_of(lang, words)
             times = np.bincount(columns[0], minlength=len(words))
             used = np.flatnonzero(times)
-            keys, pairs = runs(window_keys([c[columns[1] >= 0] for c in columns[:2]]))
-            found += [(h[used], times[used]), (pair_hashes(h, *codes_of(keys, 2)), pairs)]
-            size += len(used) + len(keys)
+            found.append((h[used], times[used]))
+            for n in range(2, LENGTH + 1):
+                whole = columns[n - 1] >= 0
+                keys, times = runs(window_keys([c[whole] for c in columns[:n]]))
+                first, *others = (h[c] for c in codes_of(keys, n))
+                for following in others:
+                    first = joined_hashes(first, following)
+                found.append((first, times))
+            size += sum(len(x) for x, _ in found[-LENGTH:])
             if size >= HELD:
                 yield from dealt(found)
                 found, size = [], 0
@@ -223,45 +237,27 @@ def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
         """The words of the bitmap that the frequent hashes of a task's ranges fill."""
         bits = np.zeros(BITS // 64, np.uint64)
 
-        def fill(found):
-            value, f = sums(found)
-            at = value[f >= least] & np.uint64(BITS - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64),
-                             np.uint64(1) << (at & np.uint64(63)))
+        def fill(of, found):
+            rest, f = sums(*(np.concatenate(x) for x in zip(*found)))
+            value = np.uint64(of) << shift | rest[f >= least].astype(np.uint64) << low
+            frames.set_bits(bits, bit_numbers(value))
 
         now, found = None, []
         for batch in batches:
             for one, hashes, f in zip(*(c.to_pylist() for c in batch.columns)):
                 if one != now and found:
-                    fill(found)
+                    fill(now, found)
                     found = []
                 now = one
-                found.append((np.frombuffer(hashes, np.uint64), np.frombuffer(f, np.int64)))
+                rest = np.frombuffer(hashes, np.uint8).reshape(4, -1).T.copy().view(">u4")
+                found.append((rest.ravel().astype(np.uint32), np.frombuffer(f, kind).astype(np.int64)))
         if found:
-            fill(found)
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(bits[used].view(np.int64))], ["word", "mask"])
+            fill(now, found)
+        yield frames.words_of(bits)
 
     rows = (texts.mapInArrow(count, "range long, hashes binary, f binary")
-            .repartition("range").sortWithinPartitions("range").mapInArrow(often, "word long, mask long")
-            .groupBy("word").agg(F.bit_or("mask").alias("mask")))
-    out = np.zeros(BITS // 64, np.int64)
-    for word, mask in packed(rows):
-        out[np.frombuffer(word, np.int64)] = np.frombuffer(mask, np.int64)
-    return out.view(np.uint64)
-
-
-def packed(rows: DataFrame) -> list[tuple[bytes, bytes]]:
-    """The bitmap's words as a few blobs (16 bytes a word, so 32 MB at most)."""
-    def work(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(k).to_numpy(zero_copy_only=False).tobytes()])
-                 for k in range(2)], ["word", "mask"])
-
-    return [(bytes(r[0]), bytes(r[1])) for r in
-            rows.mapInArrow(work, "word binary, mask binary").collect()]
+            .repartition("range").sortWithinPartitions("range").mapInArrow(often, "word long, mask long"))
+    return frames.bitmap(rows, BITS)
 
 
 def longest_windows(texts: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -270,20 +266,19 @@ def longest_windows(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     model = texts.sparkSession.sparkContext.broadcast(bits)
 
     def marked(hashed: np.ndarray) -> np.ndarray:
-        at = hashed & np.uint64(BITS - 1)
-        return (model.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
-                ) & np.uint64(1) == 1
+        return frames.has_bits(model.value, bit_numbers(hashed))
 
     def work(batches):
         for lang, words, columns in windows(batches):
             h = hashes_of(lang, words)
-            one = marked(h)[columns[0]]
-            two = one & (columns[1] >= 0)
-            two[two] = marked(pair_hashes(h, *(c[two] for c in columns[:2])))
-            three = two & (columns[2] >= 0)
-            three[three] = marked(pair_hashes(h, *(c[three] for c in columns[1:])))
-            keys, times = runs(window_keys(
-                [np.where(ok, c, -1) for ok, c in zip((one, two, three), columns)]))
+            hashed, kept = h[columns[0]], marked(h)[columns[0]]
+            shown = [np.where(kept, columns[0], -1)]
+            for column in columns[1:]:
+                kept = kept & (column >= 0)
+                hashed = joined_hashes(hashed, h[column])
+                kept[kept] = marked(hashed[kept])
+                shown.append(np.where(kept, column, -1))
+            keys, times = runs(window_keys(shown))
             text = pa.array(words, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang], pa.binary()).cast(pa.string()).take(np.zeros(len(keys), int)),
