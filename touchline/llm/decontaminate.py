@@ -26,12 +26,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import frames, words as w
-from touchline.llm.simhash import signed
 
 WINDOW = 13
 SHINGLE = 3
@@ -222,19 +220,13 @@ def runs(hit: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])]
 
 
-def with_key(docs: DataFrame, name: str, carry: tuple[str, ...]) -> DataFrame:
-    """Adds a hash of the text, which tells rows of one doc_id apart."""
-    return frames.arrow_map(
-        docs, lambda b: {name: [signed(xxhash.xxh3_64_intdigest(x)) for x in frames.texts(b)]},
-        f"{name} long", carry)
-
-
 def several_passes(docs: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
     """doc_id, text_key, n_words, spans, items from one pass for each block.
 
     The first pass has every row, the later ones only rows with hits.
     """
-    keyed = with_key(docs, "text_key", ("doc_id", "text"))
+    # The hash of the text tells rows of one doc_id apart.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     row = F.struct("doc_id", "text_key")
     later = None
     for k in range(n):
@@ -309,18 +301,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The rows of ``docs`` that are not contaminated, all columns unchanged."""
     items = frames.staged(items_of(benchmark))
     n = blocks_of(items, block_bytes)
-    corpus = frames.keyed_texts(docs, "doc_id", "text")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, corpus = frames.text_key(docs), frames.keyed_texts(docs, "doc_id", "text")
     if n == 1:
-        names = tuple(frames.fresh("_" + x, docs) for x in NAMES)
-        found = block_pass(docs, block(items, 0, 1), "text", names, tuple(docs.columns),
-                           window, corpus)
-        return found.filter(~is_contaminated(F.col(names[0]), F.col(names[1]))).select(*columns)
-    key, row = frames.fresh("_key", docs), frames.fresh("_row", docs)
-    bad = (several_passes(corpus, items, n, window)
-           .filter(is_contaminated(F.col("n_words"), F.col("spans")))
-           .select(F.struct("doc_id", "text_key").alias(row)))
-    keyed = with_key(docs, key, tuple(docs.columns))
-    mine = F.struct(F.col("doc_id").cast("long").alias("doc_id"),
-                    F.col(f"`{key}`").alias("text_key"))
-    return keyed.withColumn(row, mine).join(bad, row, "left_anti").select(*columns)
+        keyed = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+        found = block_pass(keyed, block(items, 0, 1), "text", NAMES, ("key",), window, corpus)
+    else:
+        found = several_passes(corpus, items, n, window).withColumn("key", F.struct(
+            "doc_id", F.col("text_key").alias("text")))
+    bad = found.filter(is_contaminated(F.col("n_words"), F.col("spans"))).select("key").distinct()
+    return frames.without(docs, key, frames.staged(bad))

@@ -8,13 +8,16 @@ Documents below a threshold are rejected: the ``QUANTILE`` of the scores of
 trusted documents that the target has not seen, less ``MARGIN``.
 
 The counts are made inside the tasks (one row per bucket and task is
-shuffled), so neither texts nor n-grams move; the model has ``BUCKETS`` numbers
-whatever the corpus, and is what is broadcast.  Documents are marked by a join
-with the labels.  All trusted documents count: by the hash of their id, a fifth
-sets the threshold and the others the target.  The held-out scores are staged
-and their quantile found by counts in ever narrower ranges, so that it is exact
-and no more than ``FEW`` scores are gathered.  The same tables always give the
-same verdicts.
+shuffled), so n-grams do not move; the model has ``BUCKETS`` numbers whatever the
+corpus, and is what is broadcast.  The raw counts come from a plain scan.  All
+trusted documents count: by the hash of their id, a fifth sets the threshold and the
+others the target.  A scan passes on only documents whose id is in a bitmap of the
+trusted ids (4 MB whatever their number), and those are joined to the
+ids, always by a sort-merge join, so that the plan is one at all sizes and only
+trusted texts (and what the bitmap lets through besides) are shuffled.  The held-out scores
+are staged and their quantile found by counts in ever narrower ranges, so that it is
+exact and no more than ``FEW`` scores are gathered.  The same tables always give the
+same verdicts; a document whose score is the threshold stays.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 document without n-grams scores 0; each repeated row is counted and judged; an
@@ -50,6 +53,8 @@ MARGIN = 0.1
 #: Bytes in an n-gram, and bytes of a text that are worked on at once.
 GRAM = 5
 PIECE = 1 << 20
+#: Pieces that are counted together.
+HELD = 64
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
@@ -119,7 +124,8 @@ def trusted_ids(labels: DataFrame) -> tuple[list[int], list[int]]:
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and held_out (null where a document is not trusted) of every row."""
+    """text and held_out (null where a document is not trusted) of every row (for
+    small tables: it moves all texts)."""
     # Rows without an id match nothing; their texts spread them.
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     left = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text",
@@ -128,28 +134,43 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "no_id", "spread"], "left").select("text", "held_out")
 
 
+def trusted_texts(docs: DataFrame, labels: DataFrame, held_out: bool) -> DataFrame:
+    """text of every row whose document is trusted, of one of the two parts."""
+    ids = trusted(labels).filter(F.col("held_out") == held_out).select("doc_id")
+    known = frames.key_bitmap(ids.select(F.xxhash64("doc_id").alias("hash")))
+    rows = frames.with_bit(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"),
+                           F.xxhash64("doc_id"), known, "_likely").filter("_likely")
+    return rows.join(ids.hint("merge"), "doc_id", "left_semi").select("text")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw), for every bucket."""
     size = BUCKETS
 
     def count(batches):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        total, held = np.zeros(size, np.int64), []
         for batch in frames.slices(batches):
-            for held_out, text in zip(batch.column(1).to_pylist(), frames.texts(batch)):
+            for text in frames.texts(batch):
                 for bucket in grams(w.spaced_words(text)):
-                    np.add.at(raw, bucket, 1)
-                    if held_out is False:
-                        np.add.at(target, bucket, 1)
-        at = np.flatnonzero(raw)
+                    held.append(bucket.astype(np.uint16))
+                    if len(held) == HELD:
+                        total += np.bincount(np.concatenate(held), minlength=size)
+                        held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size)
+        at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])],
-            ["bucket", "raw", "target"])
-
-    parts = marked(docs, labels).mapInArrow(count, "bucket int, raw long, target long")
-    rows = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.zeros(size), np.zeros(size)
-    for bucket, a, b in rows:
-        raw[bucket], target[bucket] = a, b
+            [pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    def counted(texts: DataFrame) -> np.ndarray:
+        parts = texts.mapInArrow(count, "bucket int, n long")
+        out = np.zeros(size)
+        for bucket, n in parts.groupBy("bucket").agg(F.sum("n")).collect():
+            out[bucket] = n
+        return out
+
+    raw = counted(docs.select("text"))
+    target = counted(trusted_texts(docs, labels, held_out=False))
     if not target.sum():
         return np.zeros(size)
     p = (raw + PRIOR) / (raw.sum() + PRIOR * size)
@@ -187,8 +208,7 @@ def threshold_of(docs: DataFrame, labels: DataFrame, ratios: np.ndarray) -> floa
         found = [w.spaced_words(t) for t in frames.texts(batch)]
         return {"score": [score_of(x, model.value) if len(x) >= 20 else None for x in found]}
 
-    held_out = trusted(labels).filter("held_out").select("doc_id")
-    picked = docs.join(held_out, "doc_id", "left_semi").select("text")
+    picked = trusted_texts(docs, labels, held_out=True)
     scores = frames.arrow_map(picked, work, "score double").filter("score IS NOT NULL")
     limit = low_quantile(frames.staged(scores))
     return -np.inf if limit is None else limit - MARGIN
@@ -201,25 +221,21 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, threshold: float,
-          text: str = "text", columns: str = COLUMNS,
           carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The measures and the verdict for every row, next to the ``carry`` columns.
-
-    ``columns`` names the eight results, so that they can avoid other columns.
-    """
-    names = [c.split()[0] for c in columns.split(", ")]
+    """The measures and the verdict for every row, next to the ``carry`` columns."""
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
     model = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def work(batch):
         out = []
-        for body in frames.texts(batch, text):
+        for body in frames.texts(batch):
             found = w.spaced_words(body)
             got = measures(body, found)
             score = score_of(found, model.value)
             out.append((*got, not got[-1] and score >= threshold, score))
         return dict(zip(names, zip(*out)))
 
-    return frames.arrow_map(docs, work, columns, carry)
+    return frames.arrow_map(docs, work, COLUMNS, carry)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
@@ -232,8 +248,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns unchanged."""
     ratios, threshold = fitted(frames.keyed_texts(docs, "doc_id", "text"), labels)
-    columns = ", ".join(f"{frames.fresh('_' + n, docs)} {k}"
-                        for n, k in (c.split() for c in COLUMNS.split(", ")))
-    verdict = columns.split(", ")[6].split()[0]
-    judged = judge(docs, ratios, threshold, "text", columns, tuple(docs.columns))
-    return judged.filter(F.col(verdict)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = frames.text_key(docs)
+    judged = judge(docs.select(key.alias("key"), F.col("text").cast("string").alias("text")),
+                   ratios, threshold, carry=("key",))
+    lost = frames.staged(judged.filter(~F.col("kept")).select("key").distinct())
+    return frames.without(docs, key, lost)

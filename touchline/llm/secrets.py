@@ -17,6 +17,10 @@ joined to them by a separator, is a candidate of its own.
 Entropies are compared as integers (2 ** -20 bit), so that results do not
 depend on rounding.  Rows are neither moved nor gathered.
 
+A step of the walk costs the same at any place of a candidate of any length, and
+texts are cut in stretches, so a megabyte of key characters, of joined words or with
+many spans takes seconds.
+
 Defined results: a null text is empty and has no spans (and stays null when
 redacted); positions count code points, end exclusive; repeated rows are each
 reported; an empty table gives an empty result; other columns are not read.
@@ -56,7 +60,7 @@ HEX_TOKEN = r"^(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$"
 #: and UUIDs.
 ALLOWED = (
     r"^[0-9+/_=-]+$", r"^[A-Z]?[a-z]+$", r"^[A-Z]+$",
-    r"^[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*[+/_=-]*$",
+    r"^[A-Za-z][A-Za-z+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
 #: Sample words, and alphabets or digits in order, are no secrets; what is before
@@ -74,6 +78,10 @@ LEADING = r"^[+/_=-]+"
 SCALE = 1 << 20
 #: Numbers whose running sums are made at once (the rest by blocks of them).
 BLOCK = 256
+#: Counts of characters in a long, and the bits of each (up to WINDOW).
+PACKED, COUNT_BITS = 12, 5
+#: Characters of a text that are cut out of at once.
+STRETCH = 4096
 
 
 def count_terms() -> list[int]:
@@ -155,29 +163,69 @@ def walked(candidate: Column) -> Column:
 
 def walk(codes: Column, hexes: Column, terms: Column) -> Column:
     """The windows of a candidate, given as places in ``ALPHABET`` and whether
-    each character is in a hex token."""
+    each character is in a hex token.
+
+    Counts of the window's characters are packed into a few longs, so that a step
+    changes two of them.  The sum of c * log2(c) changes by a step between
+    neighbouring terms for each of the two characters.
+    """
+    def shift(name: str, value: Column, places: Column) -> Column:
+        return F.call_function(name, value, places)
+
+    def bits(code: Column) -> Column:
+        return (code % PACKED * COUNT_BITS).cast("int")
+
+    def word(code: Column) -> Column:
+        return F.floor(code / PACKED).cast("int")
+
+    def count(packed: Column, code: Column) -> Column:
+        value = shift("shiftright", F.get(packed, word(code)), bits(code))
+        return value.bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def change(packed: Column, code: Column, by: int) -> Column:
+        one = shift("shiftleft", F.lit(by).cast("long"), bits(code))
+        return F.transform(packed, lambda n, j: F.when(j == word(code), n + one).otherwise(n))
+
+    up = F.array(*[F.lit(b - a).cast("long") for a, b in zip(count_terms(), count_terms()[1:])])
+
+    def moved(acc: Column, i: Column) -> Column:
+        """Counts and sum after a character is taken out (if any) and one put in."""
+        def out(x: Column) -> Column:
+            return bound(count(x["n"], x["went"]), lambda times: F.struct(
+                change(x["n"], x["went"], -1).alias("n"),
+                (x["s"] - F.get(up, times - 1)).alias("s")))
+
+        def into(x: Column) -> Column:
+            return bound(F.get(codes, i) - 1, lambda came: F.struct(
+                change(x["n"], came, 1).alias("n"),
+                (x["s"] + F.get(up, count(x["n"], came))).alias("s")))
+
+        before = F.struct(acc["n"].alias("n"), acc["s"].alias("s"))
+        left = F.when(i >= WINDOW, bound(
+            F.struct(acc["n"].alias("n"), acc["s"].alias("s"),
+                     (F.get(codes, i - WINDOW) - 1).alias("went")), out)).otherwise(before)
+        return bound(left, into)
+
     def step(acc: Column, i: Column) -> Column:
-        came = F.get(codes, i)
-        went = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0))
-        n_went = F.when(went > 0, F.get(acc["n"], went - 1)).otherwise(F.lit(0))
-        n_came = F.get(acc["n"], came - 1) - F.when(went == came, 1).otherwise(0)
-        s = (acc["s"] - F.get(terms, n_went) + F.get(terms, F.greatest(n_went - 1, F.lit(0)))
-             - F.get(terms, n_came) + F.get(terms, n_came + 1))
-        counts = F.transform(acc["n"], lambda n, j: n + F.when(j == came - 1, 1).otherwise(0)
-                             - F.when(j == went - 1, 1).otherwise(0))
-        other = F.when(F.get(hexes, i), acc["other"]).otherwise(i)
+        return bound(F.struct(
+            moved(acc, i).alias("m"),
+            F.when(F.get(hexes, i), acc["other"]).otherwise(i).alias("other")),
+            lambda x: after(acc, i, x["m"], x["other"]))
+
+    def after(acc: Column, i: Column, now: Column, other: Column) -> Column:
         limit = F.when(i - other >= WINDOW, F.lit(sum_limit("hex"))).otherwise(
             F.lit(sum_limit("base64")))
-        hot = (i >= WINDOW - 1) & (s <= limit)
+        hot = (i >= WINDOW - 1) & (now["s"] <= limit)
         at = i - (WINDOW - 1)
         return F.struct(
-            counts.alias("n"), s.alias("s"), other.alias("other"),
+            now["n"].alias("n"), now["s"].alias("s"), other.alias("other"),
             F.when(hot, F.coalesce(acc["first"], at)).otherwise(acc["first"]).alias("first"),
             F.when(hot, at).otherwise(acc["last"]).alias("last"))
 
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"),
-        F.lit(-1).alias("other"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PACKED)).alias("n"),
+        F.lit(0).cast("long").alias("s"), F.lit(-1).alias("other"),
+        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step,
                        lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
@@ -213,20 +261,56 @@ def hot_spans(name: str, known: Callable[[Column], Column]) -> Column:
         3, x["s"] + x["w"]["first"], x["s"] + x["w"]["last"] + WINDOW))
 
 
+def stretches(text: Column) -> Column:
+    """The text in stretches of ``STRETCH`` characters."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """What ``parts`` (stretches) have from ``start`` to ``end``: only those two and
+    the ones between them are read, not the text from its beginning."""
+    first = F.floor(start / STRETCH).cast("int")
+    last = F.floor((end - 1) / STRETCH).cast("int")
+    return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), lambda b: F.substring(
+        F.get(parts, b), (F.greatest(start - b * STRETCH, F.lit(0)) + 1).cast("int"),
+        (F.least(end - b * STRETCH, F.lit(STRETCH))
+         - F.greatest(start - b * STRETCH, F.lit(0))).cast("int"))), "")).otherwise(F.lit(""))
+
+
+def joined(spans: Column) -> Column:
+    """Sorted spans as (start, end), those that overlap joined, and the end before."""
+    def step(acc: Column, s: Column) -> Column:
+        end = F.greatest(acc["end"], s["end"])
+        return F.when((s["start"] > acc["end"]) | acc["end"].isNull(), F.struct(
+            F.concat(acc["out"], F.array(F.struct(
+                acc["start"].alias("start"), acc["end"].alias("end")))).alias("out"),
+            s["start"].alias("start"), s["end"].alias("end"))).otherwise(F.struct(
+                acc["out"].alias("out"), acc["start"].alias("start"), end.alias("end")))
+
+    none = F.lit(None).cast("long")
+    kept = F.aggregate(
+        spans, F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"),
+                        none.alias("start"), none.alias("end")), step,
+        lambda acc: F.concat(acc["out"], F.array(F.struct(
+            acc["start"].alias("start"), acc["end"].alias("end")))))
+    # The first entry is the empty start of the fold.
+    return bound(kept, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda s, i: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"),
+        F.coalesce(F.get(x, i)["end"], F.lit(0).cast("long")).alias("before"))))
+
+
+def replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with ``by(span)`` for each of the joined spans."""
+    return bound(F.struct(stretches(text).alias("parts"), joined(spans).alias("spans")), lambda x: F.concat(
+        F.array_join(F.transform(x["spans"], lambda s: F.concat(
+            between(x["parts"], s["before"], s["start"]), by(s))), ""),
+        between(x["parts"], F.element_at(x["spans"], -1)["end"], F.length(text).cast("long"))))
+
+
 def without(text: Column, spans: Column) -> Column:
     """The text with ``TAKEN`` for each character in a span, or null without spans."""
-    return F.when(F.size(spans) > 0, F.aggregate(
-        spans, F.struct(F.array().cast("array<string>").alias("out"),
-                        F.lit(0).cast("long").alias("end")),
-        lambda acc, s: F.struct(
-            F.concat(acc["out"], F.array(
-                F.substring(text, (acc["end"] + 1).cast("int"),
-                            F.greatest(s["start"] - acc["end"], F.lit(0)).cast("int")),
-                F.repeat(F.lit(TAKEN), F.greatest(
-                    s["end"] - F.greatest(s["start"], acc["end"]), F.lit(0)).cast("int"))))
-            .alias("out"), F.greatest(acc["end"], s["end"]).alias("end")),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(
-            text, (acc["end"] + 1).cast("int"), F.length(text)))))
+    return F.when(F.size(spans) > 0, replaced(text, spans, lambda s: F.repeat(
+        F.lit(TAKEN), (s["end"] - s["start"]).cast("int"))))
 
 
 def scanned(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -293,24 +377,14 @@ def report(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text_col: str = "text", marker: str = "<secret>") -> DataFrame:
     """``docs`` with every span replaced by ``marker``, all rows and columns kept.
 
-    Spans that touch are replaced together; a text without spans is unchanged.
+    Spans that overlap or touch are replaced together; a text without spans is
+    unchanged.
     """
     keep = [c for c in docs.columns]
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
                         F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = scanned(inner).select("row", "text", "spans")
-    # Spans in order: each keeps what it adds beyond the furthest end before it.
-    step = F.aggregate(
-        "spans", F.struct(F.array().cast("array<string>").alias("out"),
-                          F.lit(0).cast("long").alias("end")),
-        lambda acc, s: F.struct(
-            F.when((s["start"] > acc["end"]) | (acc["end"] == 0), F.concat(acc["out"], F.array(
-                F.substring(F.col("text"), (acc["end"] + 1).cast("int"),
-                            (s["start"] - acc["end"]).cast("int")), F.lit(marker))))
-            .otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["end"], s["end"]).alias("end")),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(
-            F.col("text"), (acc["end"] + 1).cast("int"), F.length("text"))))
+    step = replaced(F.col("text"), F.col("spans"), lambda s: F.lit(marker))
     rows = rows.withColumn("text", F.when(F.size("spans") > 0, step).otherwise(F.col("text")))
     return rows.select(*[
         F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in keep])

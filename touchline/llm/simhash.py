@@ -18,8 +18,12 @@ a grouped minimum links it), so no task holds a large group.
 Classes of linked fingerprints come from the large-star / small-star iteration
 with grouped minima and joins, staged in the shared folder after each round.
 
+Distinct fingerprints are classed, and documents get their class last, so that
+neither many copies of a text nor a class of many texts lands in one task.
+
 Defined results: a null text has no words; a text without words has the
-fingerprint zero and is linked like any other; repeated rows are in one class;
+fingerprint zero and is linked like any other; repeated rows are in one class, and
+of rows equal in every column one stays;
 a class whose ids are all null has a null component_id; an empty table gives an
 empty result.  Other columns are not read.
 """
@@ -31,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import frames, words as w
@@ -45,6 +49,9 @@ CROWDED = 2_000
 #: Variants sorted at once in a task.
 BLOCK = 1 << 20
 SEED = 42
+#: Copies of a class's value, and how many rows make a fingerprint common: one of so
+#: many (so there are no more of them).
+SALT, COMMON = 16, 1_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -72,14 +79,14 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (tells rows of one id apart), fp (64 bits as a long)."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry``, text_key (hash of the text), fp (64 bits as a long)."""
     def work(batch):
         bodies = frames.texts(batch)
         return {"text_key": [signed(xxhash.xxh3_64_intdigest(b)) for b in bodies],
                 "fp": [signed(fingerprint(b)) for b in bodies]}
 
-    return frames.arrow_map(docs, work, "text_key long, fp long", ("doc_id",))
+    return frames.arrow_map(docs, work, "text_key long, fp long", carry)
 
 
 def masks(first: int, last: int, radius: int) -> list[int]:
@@ -255,37 +262,68 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def classes(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, text_key, fp, root (fingerprint that names the class)."""
-    marked = frames.staged(fingerprints(docs))
-    roots = components(links(marked.select("fp").distinct(), crowded))
-    return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root"))
+def linked_fingerprints(marked: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """fp and its class (root), for every distinct fingerprint; and the table of them
+    with their number of rows."""
+    prints = frames.staged(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("rows")))
+    roots = components(links(prints.select("fp"), crowded))
+    found = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"))
+    return found, prints
+
+
+def by_class(found: DataFrame, values: DataFrame, least: Column, name: str) -> DataFrame:
+    """fp and ``name``: the least value of its class.
+
+    ``values`` has a row for each fingerprint, so copies are already one.  A class
+    may have very many fingerprints: its least value is copied ``SALT`` times.
+    """
+    rows = found.join(values, "fp")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALT))
+    best = rows.groupBy("root").agg(F.min(least).alias(name))
+    copies = best.withColumn("salt", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return (rows.select("fp", "root", salt.alias("salt"))
+            .join(copies, ["root", "salt"]).select("fp", name))
+
+
+def to_rows(marked: DataFrame, prints: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows with their fingerprint's values.
+
+    Fingerprints of a thousandth of all rows (a thousand at most) are broadcast, so
+    that no task joins all rows of one.
+    """
+    total = prints.agg(F.sum("rows")).first()[0] or 0
+    common = F.broadcast(values.join(
+        F.broadcast(prints.filter(F.col("rows") * COMMON > total).select("fp")), "fp", "left_semi"))
+    rest = marked.join(common.select("fp"), "fp", "left_anti").join(values, "fp")
+    return rest.unionByName(marked.join(common, "fp").select(*rest.columns))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     crowded: int = CROWDED) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    found = classes(frames.keyed_texts(docs, id_col, text_col), crowded)
-    names = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "root").select(
+    marked = frames.staged(fingerprints(frames.keyed_texts(docs, id_col, text_col)))
+    found, prints = linked_fingerprints(marked, crowded)
+    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    names = frames.staged(by_class(found, ids, F.col("least"), "component_id"))
+    return to_rows(marked, prints, names).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, all its columns unchanged: the least doc_id
-    (nulls last; among rows of one id, the least text hash)."""
-    found = classes(frames.keyed_texts(docs, "doc_id", "text"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    kept = (found.groupBy("root").agg(F.min(order).alias("k"))
-            .select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key")).distinct())
-    key = frames.fresh("_key", docs)
-    keyed = frames.arrow_map(
-        docs, lambda b: {key: [signed(xxhash.xxh3_64_intdigest(x)) for x in frames.texts(b)]},
-        f"{key} long", tuple(docs.columns))
-    mine = F.struct(F.col("doc_id").cast("long").alias("i"), F.col(f"`{key}`").alias("k"))
-    one = (keyed.withColumn(frames.fresh("_both", docs), mine))
-    both = frames.fresh("_both", docs)
-    theirs = kept.select(F.struct(F.col("_id").alias("i"), F.col("_key").alias("k")).alias(both))
-    return (one.join(theirs, both, "left_semi").dropDuplicates([both])
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """One row of each class, all its columns unchanged: the least doc_id (nulls
+    last); among rows of one id the least hash of the text, then of the whole row."""
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), frames.row_hash(docs).alias("row"))
+    marked = frames.staged(fingerprints(
+        docs.select(key.alias("key"), F.col("text").cast("string").alias("text")), ("key",)))
+    found, prints = linked_fingerprints(marked, crowded)
+    order = F.struct(F.col("key.doc_id").isNull().alias("n"), F.col("key.doc_id").alias("doc_id"),
+                     "text_key", "key")
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = frames.staged(by_class(found, firsts, F.col("first"), "kept")
+                         .select(F.col("kept.key").alias("key")).distinct())
+    times = frames.staged(marked.groupBy("key").agg(F.count(F.lit(1)).alias("times")))
+    lost = frames.staged(times.join(kept, "key", "left_anti").select("key"))
+    twice = times.filter("times > 1").join(kept, "key", "left_semi").select("key")
+    return frames.without(docs, key, lost, frames.staged(twice))
