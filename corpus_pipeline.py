@@ -6,8 +6,16 @@
 4. secret scans: every secret in a text is replaced by a marker;
 5. SentencePiece: the texts' pieces, and whether they decode to the text.
 
-Each stage's rows are written as Parquet and read again by the next.  A null or
-empty text fails the quality rules; see the operators for the other cases.
+Each stage's rows are written as Parquet and read again by the next.
+
+Defined results: a null or empty text fails the quality rules, so it goes in the
+first stage; texts of any length are judged, masked and segmented whole; repeated
+rows (equal in every column) are one class, of which one stays, and of the documents
+of a class the least doc_id stays (nulls last), then the least hash of the text, then
+of the row; a score at the quality threshold stays, and so does a document just under
+the share of hit words; a null doc_id is like any other but never trusted; other columns are
+carried through the first four stages unchanged, whatever their names; empty tables
+give an empty result.
 """
 
 from __future__ import annotations
