@@ -7,8 +7,8 @@ document's score is its log-likelihood ratio, target against raw, per n-gram.
 Documents below a threshold are rejected: the ``QUANTILE`` of the scores of
 trusted documents that the target has not seen, less ``MARGIN``.
 
-The counts are made inside the tasks (one row per bucket and task is
-shuffled), so n-grams do not move; the model has ``BUCKETS`` numbers whatever the
+The counts are made inside the tasks (a few rows a task with the counts of all
+buckets are shuffled), so n-grams do not move; the model has ``BUCKETS`` numbers whatever the
 corpus, and is what is broadcast.  The raw counts come from a plain scan.  All
 trusted documents count: by the hash of their id, a fifth sets the threshold and the
 others the target.  A scan passes on only documents whose id is in a bitmap of the
@@ -53,8 +53,8 @@ MARGIN = 0.1
 #: Bytes in an n-gram, and bytes of a text that are worked on at once.
 GRAM = 5
 PIECE = 1 << 20
-#: Pieces that are counted together.
-HELD = 64
+#: Pieces that are counted together, and slices that the buckets are added up in.
+HELD, SLICES = 64, 16
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
@@ -158,16 +158,28 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                         held = []
         if held:
             total += np.bincount(np.concatenate(held), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+        yield sliced(range(SLICES), np.split(total, SLICES))
+
+    def sliced(numbers, counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
+            ["slice", "n"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for number, n in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[number] = sums.get(number, 0) + np.frombuffer(n, np.int64)
+        if sums:
+            yield sliced(list(sums), sums.values())
 
     def counted(texts: DataFrame) -> np.ndarray:
-        parts = texts.mapInArrow(count, "bucket int, n long")
-        out = np.zeros(size)
-        for bucket, n in parts.groupBy("bucket").agg(F.sum("n")).collect():
-            out[bucket] = n
-        return out
+        # A few rows a task: the buckets in slices, each added up by one task.
+        parts = texts.mapInArrow(count, "slice int, n binary").repartition("slice")
+        out = np.zeros((SLICES, size // SLICES))
+        for number, n in parts.mapInArrow(add, "slice int, n binary").collect():
+            out[number] = np.frombuffer(n, np.int64)
+        return out.ravel()
 
     raw = counted(docs.select("text"))
     target = counted(trusted_texts(docs, labels, held_out=False))
