@@ -43,6 +43,7 @@ BINS = 1 << 16
 SHARDS = 4096
 SHARD_BYTES = 4 << 20
 FILE_BYTES = 32 << 20
+READ_BYTES = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 3
@@ -203,14 +204,22 @@ class Files:
 
 
 def members(data: bytes):
-    """The gzip members of an archive, one after the other."""
-    while data:
-        press = zlib.decompressobj(31)
-        body = press.decompress(data)
-        if not press.eof:
-            raise ValueError("archive ends inside a record")
-        yield body
-        data = press.unused_data
+    """The gzip members of an archive, one after the other.
+
+    The decompressor gets ``READ_BYTES`` at a time, so what it hands back after a
+    member's end is small however long the archive is.
+    """
+    at = 0
+    while at < len(data):
+        press, body = zlib.decompressobj(31), []
+        while not press.eof:
+            if at >= len(data):
+                raise ValueError("archive ends inside a record")
+            part = data[at:at + READ_BYTES]
+            body.append(press.decompress(part))
+            at += len(part)
+        at -= len(press.unused_data)
+        yield b"".join(body)
 
 
 def parsed(body: bytes) -> tuple[dict[str, str], bytes]:
