@@ -85,12 +85,12 @@ _ASSIGN = (
     rf"{_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)")
 
 
-def _spans(name: str, pattern: str, wanted: str = "true", group: int = 0) -> str:
+def _spans(name: str, pattern: str, wanted: str = "true", group: int = 0, source: str = "d") -> str:
     """Matches with their places: what is before them, and the matches before."""
     return f"""{name}_cut AS (
   SELECT rid, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS s,
          regexp_extract_all(t, '{pattern}', {group}) AS g
-  FROM d WHERE regexp_matches(t, '{pattern}')),
+  FROM {source} WHERE regexp_matches(t, '{pattern}')),
 {name} AS (
   SELECT rid, CAST(a AS BIGINT) AS a, CAST(a + length(m[i + 1]) AS BIGINT) AS b, m[i + 1] AS c
   FROM (SELECT *, coalesce(list_sum(list_transform(s[1:i + 1], lambda x: length(x))), 0)
@@ -104,36 +104,86 @@ _TERM = "CAST(round(1048576 * n * log2(n)) AS BIGINT)"
 _HEX = "^([0-9a-f]+|[0-9A-F]+)$"
 _ALLOWED = [
     "^[0-9+/_=-]+$", "^[A-Z]?[a-z]+$", "^[A-Z]+$", "^[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*$",
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "EXAMPLE|example", "0123456789|abcdefghij|ABCDEFGHIJ"]
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"]
+
+
+def _allowed(text: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '{p}')" for p in _ALLOWED) + ")"
+
+
+def _alphabet(letters: str) -> str:
+    """The first ten letters, and as many of the others as follow in order."""
+    rest = ""
+    for letter in reversed(letters[10:]):
+        rest = f"({letter}{rest})?"
+    return letters[:10] + rest
+
+
+_SAMPLES = "|".join(["EXAMPLE", "example", "0123456789", _alphabet(LOWER), _alphabet(UPPER)])
+_KEY = "[A-Za-z0-9+/_=-]"
+_TAKEN = "chr(65535)"
+_BARE = "regexp_replace({}, '^[+/_=-]+', '')"
 
 SECRETS = f"""
 WITH {DOCS},
 {_spans("assign", _ASSIGN, "length(g[i + 1]) >= 8", 2)},
 {_spans("access", "AKIA[A-Z0-9]+", "length(m[i + 1]) >= 16")},
 {_spans("hexes", "[0-9a-f]{32,}")},
-{_spans("candidate", "[A-Za-z0-9+/_=-]{20,}")},
+{_spans("candidate", _KEY + "{20,}")},
 base AS (SELECT rid, a, 0 AS k, b FROM assign UNION ALL SELECT rid, a, 1, b FROM access
          UNION ALL SELECT rid, a, 2, b FROM hexes),
-tried AS (SELECT rid, a, c, unnest(range(length(c) - 19)) AS pos FROM candidate
-          WHERE NOT ({' OR '.join(f"regexp_matches(c, '{p}')" for p in _ALLOWED)})),
-summed AS (SELECT *, list_sum(list_transform(map_values(list_aggregate(string_split(
-             substr(c, CAST(pos + 1 AS BIGINT), 20), ''), 'histogram')), lambda n: {_TERM})) AS s FROM tried),
-hot AS (SELECT rid, a + min(pos) AS a, 3 AS k, a + max(pos) + 20 AS b FROM summed
-        WHERE s <= floor(1048576 * 20 * (log2(20) - CASE WHEN regexp_matches(c, '{_HEX}')
-                                          THEN 2.9 ELSE 3.75 END))
-        GROUP BY rid, summed.a),
-apart AS (SELECT * FROM hot h WHERE NOT EXISTS (
+-- What fixed patterns leave of a text, character by character.
+rest_text AS (
+  SELECT d.rid, d.doc_id, array_to_string(list_transform(string_split(t, ''), lambda c, i:
+           CASE WHEN len(list_filter(taken, lambda s: s.a < i AND i <= s.b)) > 0
+                THEN {_TAKEN} ELSE c END), '') AS t
+  FROM d JOIN (SELECT rid, list(struct_pack(a := a, b := b)) AS taken FROM base GROUP BY rid)
+       USING (rid)),
+{_spans("rest", _KEY + "{20,}", source="rest_text")},
+left_over AS (
+  SELECT rest.* FROM rest JOIN rest_text USING (rid)
+  WHERE (a = 0 OR substr(t, a, 1) <> {_TAKEN} OR regexp_matches(c, '^[+/_=-]'))
+    AND (substr(t, b + 1, 1) <> {_TAKEN} OR regexp_matches(c, '[+/_=-]$'))
+    AND NOT {_allowed("c")} AND NOT {_allowed(_BARE.format("c"))}),
+named AS (SELECT rid, a, c, true AS whole FROM candidate WHERE NOT {_allowed("c")}
+          UNION ALL SELECT rid, a, c, false FROM left_over),
+-- Samples cut a candidate.
+parts AS (
+  SELECT rid, whole, a AS first, c AS body, regexp_matches(c, '{_SAMPLES}') AS cut,
+         string_split_regex(c, '{_SAMPLES}') AS s, regexp_extract_all(c, '{_SAMPLES}') AS m
+  FROM named),
+pieces AS (
+  SELECT rid, whole, first AS a, body AS c FROM parts WHERE NOT cut
+  UNION ALL
+  SELECT rid, whole, a, c FROM (
+    SELECT rid, whole, s[i + 1] AS c, first
+           + coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)
+           + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS a
+    FROM (SELECT *, unnest(range(len(s))) AS i FROM parts WHERE cut))
+  WHERE length(c) >= 20 AND NOT {_allowed(_BARE.format("c"))}),
+tried AS (SELECT *, substr(c, CAST(pos + 1 AS BIGINT), 20) AS w
+          FROM (SELECT *, unnest(range(length(c) - 19)) AS pos FROM pieces)),
+summed AS (SELECT *, list_sum(list_transform(map_values(list_aggregate(
+             string_split(w, ''), 'histogram')), lambda n: {_TERM})) AS s,
+           regexp_extract(substr(c, 1, CAST(pos AS BIGINT)), '[A-Za-z0-9]*$') || w
+             || regexp_extract(substr(c, CAST(pos + 21 AS BIGINT)), '^[A-Za-z0-9]*') AS token
+           FROM tried),
+hot AS (SELECT DISTINCT rid, whole, a + min(pos) AS a, 3 AS k, a + max(pos) + 20 AS b FROM summed
+        WHERE s <= floor(1048576 * 20 * (log2(20) - CASE
+          WHEN regexp_matches(token, '{_HEX}') AND regexp_matches(token, '[a-fA-F]')
+          THEN 2.9 ELSE 3.75 END))
+        GROUP BY rid, whole, summed.a),
+found AS (SELECT DISTINCT rid, a, k, b FROM hot h WHERE NOT whole OR NOT EXISTS (
   SELECT 1 FROM base x WHERE x.rid = h.rid AND x.a < h.b AND h.a < x.b)),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM apart),
-named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || b AS x
-          FROM every),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM found),
+spelled AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || b AS x
+            FROM every),
 listed AS (
   SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
          count(*) FILTER (WHERE k = 2) AS n_hex,
          string_agg(x, ',' ORDER BY a, k, b) FILTER (WHERE k < 3) AS base,
          string_agg(x, ',' ORDER BY a, k, b) AS spans
-  FROM named GROUP BY rid)
+  FROM spelled GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
        coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans
