@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -138,8 +139,12 @@ class Segmenter:
         """Have all these units in the memory of words."""
         new = {u for u in units if u not in self.memo}
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = units
+            # The older half goes; what this batch needs of it is learnt again.
+            for old in list(islice(self.memo, len(self.memo) // 2 + 1)):
+                del self.memo[old]
+            if len(self.memo) + len(units) > MEMO:
+                self.memo.clear()
+            new = {u for u in units if u not in self.memo}
         self.learn(sorted(new))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -476,8 +481,9 @@ def segmenter(shared) -> Segmenter:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           model: str = MODEL, chunk: int = CHUNK, carry_digest: bool = False) -> DataFrame:
-    """doc_id, ids: the pieces of every text (and text_sha256 if wanted)."""
+           model: str = MODEL, chunk: int = CHUNK, verify: bool = False) -> DataFrame:
+    """doc_id, ids: the pieces of every text; with ``verify`` also n_pieces, and
+    whether they decode to the text (lossless), found by the task that has both."""
     spark = docs.sparkSession
     words = vocabulary(model)
     states = Segmenter(words).states
@@ -488,32 +494,49 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
 
     def small(batches):
-        use = segmenter(shared)
+        use, table = segmenter(shared), byte_table(shared.value)
         for batch in frames.slices(batches):
-            found = use.encode([t.decode("utf-8", "replace") for t in frames.texts(batch)])
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found], dtype=np.int64)))
+            bodies = frames.texts(batch)
+            found = use.encode([t.decode("utf-8", "replace") for t in bodies])
+            sizes = [len(x) // 4 for x in found]
+            ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
             ids = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids],
-                                             ["doc_id", "text_sha256", "ids"])
+            same = [decode_ids(np.frombuffer(x, "<i4"), table) == t
+                    for x, t in zip(found, bodies)] if verify else [None] * len(bodies)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())],
+                ["doc_id", *CHECKED])
 
-    texts = texts.withColumn(
-        "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256) if carry_digest
-        else F.lit(None).cast("string"))
-    columns = ["doc_id", *["text_sha256"] * carry_digest, "ids"]
+    columns = ["doc_id", *(CHECKED if verify else CHECKED[:1])]
     out = texts.filter(~giant).mapInArrow(
-        small, "doc_id long, text_sha256 string, ids array<int>").select(*columns)
+        small, "doc_id long, ids array<int>, n_pieces long, lossless boolean").select(*columns)
     big = frames.arrow_map(
         texts.filter(giant), lambda b: {
             "text_key": [signed(xxhash.xxh3_64_intdigest(x)) for x in frames.texts(b)]},
-        "text_key long", ("doc_id", "text", "text_sha256"))
-    big = frames.staged(big.select("doc_id", "text_key", "text", "text_sha256"))
+        "text_key long", ("doc_id", "text"))
+    big = frames.staged(big.select("doc_id", "text_key", "text"))
     if big.isEmpty():
         return out
-    once = big.dropDuplicates(ROW)
-    encoded = encode_giants(once, shared, chunk, states)
-    return out.unionByName(
-        same_rows(big.select(*ROW, "text_sha256"), encoded, ROW).select(*columns))
+    encoded = encode_giants(big.dropDuplicates(ROW), shared, chunk, states)
+    if verify:
+        encoded = verified(encoded, shared)
+    return out.unionByName(same_rows(big.select(*ROW), encoded, ROW).select(*columns))
+
+
+CHECKED = ["ids", "n_pieces", "lossless"]
+
+
+def verified(encoded: DataFrame, shared) -> DataFrame:
+    """Of distinct texts: whether the pieces decode to a text with the key."""
+    def work(batch):
+        table = byte_table(shared.value)
+        ids = [np.asarray(x.values, "<i4") for x in batch.column(batch.schema.get_field_index("ids"))]
+        keys = batch.column(batch.schema.get_field_index("text_key")).to_pylist()
+        return {"n_pieces": [len(x) for x in ids], "lossless": [
+            signed(xxhash.xxh3_64_intdigest(decode_ids(x, table))) == k for x, k in zip(ids, keys)]}
+
+    return frames.arrow_map(encoded, work, "n_pieces long, lossless boolean", (*ROW, "ids"))
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -521,7 +544,10 @@ def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
 
 
 def byte_table(words: dict) -> list[bytes]:
-    table = [b""] * words["size"]
+    """The bytes of each piece (kept beside the vocabulary)."""
+    if "table" in words:
+        return words["table"]
+    table = words["table"] = [b""] * words["size"]
     for piece, (i, _) in words["pieces"].items():
         table[i] = piece.encode()
     for b, i in enumerate(words["bytes"]):
@@ -532,7 +558,8 @@ def byte_table(words: dict) -> list[bytes]:
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with the decoded text, n_pieces and the digest of the ids (as
     little-endian 32-bit integers)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(byte_table(vocabulary(model)))
+    words = vocabulary(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(byte_table(words))
 
     def work(batch):
         ids = batch.column(batch.schema.get_field_index("ids"))
