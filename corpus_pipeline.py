@@ -46,9 +46,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, lossless (the ids decode to the text)."""
-    found = pieces.encode(docs, carry_digest=True)
-    return pieces.decode(found).select(
-        "doc_id", "ids", "n_pieces", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+    return pieces.encode(docs, verify=True)
 
 
 STAGES = [
