@@ -91,3 +91,23 @@ def test_profile_shuffles_only_partial_sums(spark, tmp_path):
     plays = convert(events_feed(spark, SMALL), str(tmp_path / "t")).read("plays")
     plan = team_profile(plays)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_sum" in plan
+
+
+def test_a_delivery_reads_only_its_own_events(spark, tmp_path):
+    """The ledger tells what is converted; earlier batches are not needed."""
+    feed = events_feed(spark, SMALL)
+    path = str(tmp_path / "t")
+    tables = convert(feed.filter(F.col("competition").isin(TOP_FLIGHT)), path)
+    counts = feed.groupBy("gameID").agg(F.count(F.lit(1)).alias("rows"))
+    first = tables.ledger()
+    assert first.count() > 0 and first.exceptAll(counts).count() == 0
+    for name in ("enriched", "sequenced", "plays", "age_sums", "team_sums"):
+        (tmp_path / "t" / name).rename(tmp_path / f"away-{name}")
+    convert(feed, path)
+    for name in ("enriched", "sequenced", "plays", "age_sums", "team_sums"):
+        (tmp_path / f"away-{name}" / "batch=0").rename(tmp_path / "t" / name / "batch=0")
+    assert Tables(spark, path).batches() == 2
+    whole = convert(feed, str(tmp_path / "whole"))
+    for name in ("ages", "team_profiles", "match_profiles", "match_features", "ledger"):
+        assert rows(tables.read(name)) == rows(whole.read(name))
+    assert rows(tables.ledger()) == rows(counts)

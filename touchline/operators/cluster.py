@@ -154,6 +154,27 @@ def variable_coordinates(
     return df.withColumn("ranking", rank).filter(F.col("ranking") <= top)
 
 
+def spectrum(scaled: DataFrame, size: int = len(FEATURES)) -> DataFrame:
+    """All components: eigenvalue, share and running share of the variance.
+
+    The correlation matrix is one aggregate over the teams (size x size sums, however
+    many there are); a feature that never varies adds nothing.
+    """
+    z = scaled.select(vector_to_array("scaled").alias("z"))
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    n, *sums = z.agg(F.count(F.lit(1)), *[
+        F.sum(F.col("z")[i] * F.col("z")[j]) for i, j in cells]).first()
+    matrix = np.zeros((size, size))
+    for (i, j), value in zip(cells, sums):
+        matrix[i, j] = matrix[j, i] = (value or 0.0) / max(n - 1, 1)
+    values = np.clip(np.linalg.eigvalsh(matrix)[::-1], 0.0, None)
+    shares = values / (values.sum() or 1.0)
+    rows = [(i + 1, float(v), float(s), float(t))
+            for i, (v, s, t) in enumerate(zip(values, shares, np.cumsum(shares)))]
+    return scaled.sparkSession.createDataFrame(
+        rows, "component int, eigenvalue double, share double, cumulative double")
+
+
 def individual_coordinates(scaled: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Teams on the first two components, with their display group.
 

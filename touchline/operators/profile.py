@@ -67,32 +67,42 @@ def lenient(column: str) -> Column:
     return F.expr(f"coalesce(sum({column}), {zero})")
 
 
-def team_profiles(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Totals, rates and ratio columns of the plays of each key.
+_NEEDED = sorted(
+    ({t for t, _ in RATIOS.values()} | {p for _, ps in RATIOS.values() for p in ps}
+     | {"goals", "shots", *_NAMED_TOTALS.values()})
+    - {*_NAMED_TOTALS, "plays"})
+
+
+def team_sums(plays: DataFrame, keys: Sequence[str], count: str = "count(1)") -> DataFrame:
+    """What the profiles of the keys are made of: sums, and the number of plays.
 
     Every aggregate combines map-side, so the shuffle carries one row per key
     and task.  The text maxima make it a sort-based aggregate; grouping by game
     first would hash instead, but shuffles a row per game to save a local sort,
     and measured slower.
     """
-    needed = sorted(
-        ({t for t, _ in RATIOS.values()} | {p for _, ps in RATIOS.values() for p in ps}
-         | {"goals", "shots", *_NAMED_TOTALS.values()})
-        - {*_NAMED_TOTALS, "plays"})
-
     def total(column: str) -> Column:
         if column in LENIENT:
             return lenient(column)
         return F.expr(f"CASE WHEN count({column}) = count(1) THEN sum({column}) END")
 
-    sums = plays.groupBy(*keys).agg(
+    return plays.groupBy(*keys).agg(
         F.min("gameDate").alias("gameDate"),
         F.max("theirName").alias("theirName"),
         F.max("matchName").alias("matchName"),
-        F.count(F.lit(1)).alias("plays"),
-        *[total(c).alias(c) for c in needed],
-    ).withColumnsRenamed({src: n for n, src in _NAMED_TOTALS.items()})
+        F.expr(count).alias("plays"),
+        *[total(c).alias(c) for c in _NEEDED],
+    )
 
+
+def merged_team_sums(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sums of tables of ``team_sums`` put together: an unknown sum stays unknown."""
+    return team_sums(parts, keys, "sum(plays)")
+
+
+def team_rates(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals, rates and ratio columns of the sums."""
+    sums = sums.withColumnsRenamed({src: n for n, src in _NAMED_TOTALS.items()})
     return sums.selectExpr(
         *keys, "gameDate", "theirName", "matchName", *_TOTALS,
         f"{part('totalPasses', 'gameDuration / 60')} AS ppm",
@@ -102,6 +112,11 @@ def team_profiles(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def team_profiles(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals, rates and ratio columns of the plays of each key."""
+    return team_rates(team_sums(plays, keys), keys)
+
+
 def result_label(goals: Column, total: Column) -> Column:
     part = ratio(goals, total)
     return (F.when((total == 0) | (part == 0.5), "Draw")
@@ -138,17 +153,20 @@ def numeric_columns(df: DataFrame, without: Sequence[str]) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in without]
 
 
-def numeric_totals(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-skipping sums of all numeric columns, plus pass and ball rates."""
-    sums = [lenient(c).alias(c) for c in numeric_columns(plays, keys)]
+def numeric_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-skipping sums of all numeric columns (of plays, or of such sums)."""
+    return rows.groupBy(*keys).agg(*[lenient(c).alias(c) for c in numeric_columns(rows, keys)])
+
 
+def numeric_rates(sums: DataFrame) -> DataFrame:
+    """The sums, plus pass and ball rates."""
     def per_minute(passes: str, seconds: str) -> Column:
         return F.expr(part(passes, f"{seconds} / 60"))
 
     def velocity(metres: str, seconds: str) -> Column:
         return F.expr(part(metres, seconds))
 
-    return plays.groupBy(*keys).agg(*sums).withColumns({
+    return sums.withColumns({
         "ppm": per_minute("totalPasses", "possessionDuration"),
         "ppmAttack": per_minute("attackPasses", "AttackDuration"),
         "ppmMidfield": per_minute("midfieldPasses", "MidfieldDuration"),
@@ -160,8 +178,19 @@ def numeric_totals(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
     })
 
 
+def numeric_totals(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return numeric_rates(numeric_sums(plays, keys))
+
+
+AGE_KEYS = ["age_group", "playByUs"]
+
+
+def age_sums(plays: DataFrame) -> DataFrame:
+    return numeric_sums(with_goal_origins(plays), AGE_KEYS)
+
+
 def age_totals(plays: DataFrame) -> DataFrame:
-    return numeric_totals(with_goal_origins(plays), ["age_group", "playByUs"])
+    return numeric_rates(age_sums(plays))
 
 
 def game_totals(plays: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ from touchline.functions.constants import (
     FEATURE_KEYS, GIRLS_16, MATCH_DERIVED, MATCH_SUMS, TOP_FLIGHT,
 )
 from touchline.operators import classify, cluster, profile
+from touchline.operators.boosting import Setting
 from touchline.operators.enrich import enrich_events, mark_passes
+from touchline.operators.nearest import nearest
 from touchline.operators.plays import roll_up_plays
 from touchline.operators.sequence import sequence_events
 from touchline.operators.slices import stage, workspace
-from touchline.plans import conversion, reports
+from touchline.plans import conversion, models, reports
 from touchline.plans.registry import STATS
 from touchline.sources import feed as sources
 
@@ -74,12 +76,26 @@ def teams(spark: SparkSession, sf: str) -> DataFrame:
     return stage(cluster.dashboard_teams(profile.team_profile(plays(spark, sf))))
 
 
+#: What the model queries fit: the published grid of forests and folds with fewer
+#: trees (the functions' defaults are the published numbers; README has their times).
+MODELS = models.Plan(settings=(Setting(3, 5), Setting(3, 10)), boosted_trees=(5, 10),
+                     forest_trees=100, forest_batch=50)
+
+
 # --- event level ------------------------------------------------------------
 def feed_events(spark, sf):
     df = feed(spark, sf)
     return rounded(df.drop(*sources.POSSESSION))
 
 
+def feed_roundtrip(spark, sf):
+    """The feed written as pipe-separated files and read back, bad rows caught."""
+    folder = f"{workspace(spark)}/feed-{uuid.uuid4().hex}"
+    sources.write_feed(feed(spark, sf), folder)
+    back = sources.read_feed(spark, folder, bad_rows="bad_row")
+    return rounded(back.drop("chunk", *sources.POSSESSION))
+
+
 def sequence_events_query(spark, sf):
     return rounded(sequenced(spark, sf).select(*SEQUENCED_COLUMNS))
 
@@ -341,6 +357,16 @@ def ward_steps(spark, sf):
     return rounded(steps.unionByName(cluster.ward_unmerged(scaled, ids)))
 
 
+def nearest_teams(spark, sf):
+    """The five nearest teams of each team, by cosine distance."""
+    found = nearest(cluster.unit_rows(cluster.scaled_vectors(teams(spark, sf))))
+    return rounded(found, 5)
+
+
+def pca_spectrum(spark, sf):
+    return rounded(cluster.spectrum(cluster.scaled_vectors(teams(spark, sf))), 4)
+
+
 def cluster_input(spark, sf):
     """Complete team profiles under their display names."""
     chosen = cluster.chosen_teams(profile.team_profile(plays(spark, sf)))
@@ -377,8 +403,33 @@ def stratified_split(spark, sf):
         *classify.ROW_ID, "default", "in_train")
 
 
+def cv_folds(spark, sf):
+    return models.cv_folds(labelled(spark, sf))
+
+
+def cv_predictions(spark, sf):
+    return rounded(models.cv_predictions(labelled(spark, sf), MODELS))
+
+
+def model_predictions(spark, sf):
+    return rounded(models.all_predictions(labelled(spark, sf), MODELS))
+
+
+def model_confusion(spark, sf):
+    return models.confusion(models.all_predictions(labelled(spark, sf), MODELS))
+
+
+def model_label_totals(spark, sf):
+    return models.label_totals(models.all_predictions(labelled(spark, sf), MODELS))
+
+
+def model_importance(spark, sf):
+    return rounded(models.importance(labelled(spark, sf), MODELS))
+
+
 QUERIES: dict[str, Query] = {
     "feed_events": feed_events,
+    "feed_roundtrip": feed_roundtrip,
     "sequence_events": sequence_events_query,
     "turnover_pseudo_events": turnover_pseudo_events,
     "completed_passes": completed_passes,
@@ -434,4 +485,12 @@ QUERIES: dict[str, Query] = {
     "kmeans_teams": kmeans_teams,
     "ward_teams": ward_teams,
     "ward_steps": ward_steps,
+    "nearest_teams": nearest_teams,
+    "pca_spectrum": pca_spectrum,
+    "cv_folds": cv_folds,
+    "cv_predictions": cv_predictions,
+    "model_predictions": model_predictions,
+    "model_confusion": model_confusion,
+    "model_label_totals": model_label_totals,
+    "model_importance": model_importance,
 }

@@ -2,7 +2,10 @@
 
 Only games the history has not seen are sequenced, enriched and rolled up.  All
 three are per-game, so adding batches gives the same tables as converting
-everything again.  The small roll-ups are rebuilt from the play table.
+everything again.  Which games are converted is in a ledger (game, rows, batch), so
+a delivery reads the ledger and its own events, and no earlier batch: profiles of
+matches are tables by batch like the plays, and roll-ups over matches (ages, teams)
+are kept as sums by batch, which a reader adds up before it takes rates.
 
 Every delivery is a batch with the next free number; each table has a folder for
 it.  A batch counts only when its number has been added to ``batches``, which is
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.functions.constants import TEAM_KEYS
 from touchline.operators import profile
 from touchline.operators.enrich import enrich_events
 from touchline.operators.plays import roll_up_plays
@@ -26,12 +30,21 @@ from touchline.operators.slices import CHUNK_ROWS, stage
 from touchline.sources import feed as sources
 
 BY_COMPETITION = ("enriched", "plays", "sequenced")
-ROLL_UPS = {
-    "ages": profile.age_totals,
+#: Tables that a batch adds its own rows to, made of its plays.
+OF_PLAYS = {
+    "age_sums": profile.age_sums,
+    "team_sums": lambda plays: profile.team_sums(plays, TEAM_KEYS),
     "match_profiles": profile.match_team_profile,
-    "team_profiles": profile.team_profile,
     "match_features": profile.match_features,
 }
+#: Tables that are put together from the sums of all batches.
+ROLL_UPS = {
+    "ages": lambda t: profile.numeric_rates(
+        profile.numeric_sums(t.read("age_sums"), profile.AGE_KEYS)),
+    "team_profiles": lambda t: profile.team_rates(
+        profile.merged_team_sums(t.read("team_sums"), TEAM_KEYS), TEAM_KEYS),
+}
+LEDGER = T.StructType([T.StructField("gameID", T.StringType()), T.StructField("rows", T.LongType())])
 
 
 BATCH = T.StructType([T.StructField("batch", T.IntegerType())])
@@ -50,36 +63,43 @@ class Tables:
         return done.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
 
     def read(self, name: str) -> DataFrame:
-        """A stage table; of the ones kept by batch, complete batches only."""
+        """A stage table, of complete batches only."""
+        if name in ROLL_UPS:
+            return ROLL_UPS[name](self)
         df = self.spark.read.parquet(f"{self.path}/{name}")
-        if name not in BY_COMPETITION:
-            return df
         return df.filter(F.col("batch") < self.batches()).drop("batch")
 
+    def ledger(self) -> DataFrame:
+        """The converted games and their feed rows."""
+        if not self.batches():
+            return self.spark.createDataFrame([], LEDGER)
+        return self.read("ledger")
+
 
 def convert(
     feed: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS
 ) -> Tables:
-    """Convert the feed's new games and refresh every stage table."""
+    """Convert the feed's new games; what is there already is not read."""
     tables = Tables(feed.sparkSession, path)
     batch = tables.batches()
-    games = feed.select("gameID")
-    seen = tables.read("sequenced") if batch else games.limit(0)
-    pending = sources.pending_events(feed, seen)
-    if not pending.isEmpty():
-        # Written once and read twice: by the event table and by the enrichment.
-        converted = stage(sequence_events(pending, chunk_rows))
-        enriched = stage(enrich_events(converted, chunk_rows))
-        fresh = {"enriched": enriched, "plays": roll_up_plays(enriched),
-                 "sequenced": converted}
-        for name in BY_COMPETITION:
-            # A folder per competition: an extract is a filter that prunes files.
-            sources.write_extracts(fresh[name].drop("chunk"), f"{path}/{name}/batch={batch}")
-        sources.append_games(
-            tables.spark.createDataFrame([(batch,)], BATCH).coalesce(1), f"{path}/batches")
-    plays = tables.read("plays")
-    for name, roll_up in ROLL_UPS.items():
-        sources.write_full(roll_up(plays), f"{path}/{name}")
+    pending = sources.pending_events(feed, tables.ledger())
+    if pending.isEmpty():
+        return tables
+    # Written once and read twice: by the event table and by the enrichment.
+    converted = stage(sequence_events(pending, chunk_rows))
+    enriched = stage(enrich_events(converted, chunk_rows))
+    fresh = {"enriched": enriched, "plays": roll_up_plays(enriched), "sequenced": converted}
+    for name in BY_COMPETITION:
+        # A folder per competition: an extract is a filter that prunes files.
+        sources.write_extracts(fresh[name].drop("chunk"), f"{path}/{name}/batch={batch}")
+    plays = tables.spark.read.parquet(f"{path}/plays/batch={batch}")
+    for name, made in OF_PLAYS.items():
+        sources.write_full(made(plays), f"{path}/{name}/batch={batch}")
+    games = converted.filter("NOT pseudoEvent").groupBy("gameID").agg(
+        F.count(F.lit(1)).alias("rows"))
+    sources.write_full(games, f"{path}/ledger/batch={batch}")
+    sources.append_games(
+        tables.spark.createDataFrame([(batch,)], BATCH).coalesce(1), f"{path}/batches")
     return tables
 
 

@@ -442,6 +442,81 @@ SELECT gameID, teamName, playByUs, gameDate, "default",
 """
 
 
+def folds_statement(folds: int = 5, repeats: int = 3) -> str:
+    return f"""
+SELECT gameID, teamName, playByUs, gameDate, "default", CAST(r AS INTEGER) AS repeat,
+       CAST((row_number() OVER (PARTITION BY "default", r ORDER BY md5(
+         'fold' || r || '|' || gameID || '|' || teamName || '|' || playByUs || '|' || gameDate))
+         - 1) % {folds} AS INTEGER) AS fold
+FROM labelled, range({repeats}) AS t(r)
+"""
+
+
+def label_totals_statement() -> str:
+    """Test rows of each label, for every point of the models' grids."""
+    points = [("boosted", f"depth 3 leaf {leaf}", trees) for leaf in (5, 10) for trees in (5, 10)]
+    points += [("forest", f"mtry {m}", 100) for m in (2, 6, 10, 14, 18)]
+    values = ", ".join(f"('{m}', '{s}', {t})" for m, s, t in points)
+    split = split_statement()
+    return split.replace("SELECT gameID, teamName, playByUs, gameDate, \"default\",\n       nth", """
+, split AS (SELECT "default" AS label, nth""", 1).rstrip() + f""")
+SELECT model, setting, trees, label, count(*) AS n
+FROM split, (VALUES {values}) AS p(model, setting, trees)
+WHERE NOT in_train GROUP BY ALL
+"""
+
+
+NEAREST = SCALED + """
+, unit AS (SELECT team_id, feature, z / sqrt(sum(z * z) OVER (PARTITION BY team_id)) AS u
+           FROM scaled QUALIFY sum(z * z) OVER (PARTITION BY team_id) > 0),
+gaps AS (SELECT a.team_id, b.team_id AS other_id, round(1 - sum(a.u * b.u), 9) AS distance
+         FROM unit a JOIN unit b ON a.feature = b.feature AND a.team_id <> b.team_id
+         GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY distance, other_id) AS rank
+           FROM gaps)
+SELECT team_id, CAST(rank AS INTEGER) AS rank, other_id, round(distance, 5) + 0.0 AS distance
+FROM ranked WHERE rank <= 5
+"""
+
+# Power iteration by repeated squaring; the component found is taken out of the matrix
+# (a), and the search (p) starts again with the rest.
+SPECTRUM = "".join([SCALED, f"""
+, cells AS (SELECT a.feature AS f, b.feature AS g, sum(a.z * b.z) / (count(*) - 1) AS c
+            FROM scaled a JOIN scaled b USING (team_id) GROUP BY ALL),
+lines AS (SELECT f, list(c ORDER BY g) AS line FROM cells GROUP BY f),
+first AS (SELECT list(line ORDER BY f) AS a FROM lines),
+steps AS (
+  SELECT * FROM (
+    WITH RECURSIVE power AS (
+      SELECT 1 AS component, 0 AS step, a, a AS p, NULL::DOUBLE AS eigenvalue FROM first
+      UNION ALL
+      SELECT CASE WHEN step = 40 THEN component + 1 ELSE component END,
+             CASE WHEN step = 40 THEN 0 ELSE step + 1 END,
+             CASE WHEN step = 40 THEN rest ELSE a END,
+             CASE WHEN step = 40 THEN rest ELSE squared END,
+             CASE WHEN step = 40 THEN value END
+      FROM (SELECT *, list_transform(a, lambda r, i: list_transform(r, lambda x, j:
+                     x - value * v[i] * v[j])) AS rest,
+                   list_transform(raw, lambda r: list_transform(r, lambda x: x / size)) AS squared
+            FROM (SELECT *, list_dot_product(v, list_transform(a, lambda r:
+                           list_dot_product(r, v))) AS value,
+                         greatest(list_sum(list_transform(raw, lambda r, i: r[i])), 1e-300) AS size
+                  FROM (SELECT *, list_transform(p, lambda r: list_transform(p, lambda q:
+                                 list_dot_product(r, q))) AS raw,
+                               list_transform(p[top], lambda x: x / sqrt(greatest(p[top][top], 1e-300))) AS v
+                        FROM (SELECT *, list_position(diagonal, list_max(diagonal)) AS top
+                              FROM (SELECT *, list_transform(p, lambda r, i: r[i]) AS diagonal
+                                    FROM power WHERE component <= {len(_FEATURES)})))))
+    ) SELECT component - 1 AS component, eigenvalue FROM power WHERE eigenvalue IS NOT NULL)),
+values_ AS (SELECT component, greatest(eigenvalue, 0) AS eigenvalue FROM steps)
+SELECT CAST(component AS INTEGER) AS component, round(eigenvalue, 4) + 0.0 AS eigenvalue,
+       round(eigenvalue / sum(eigenvalue) OVER (), 4) + 0.0 AS share,
+       round(sum(eigenvalue) OVER (ORDER BY component) / sum(eigenvalue) OVER (), 4) + 0.0
+         AS cumulative
+FROM values_
+"""])
+
+
 ORACLE: dict[str, str] = {
     "feed_events": over(
         "SELECT gameID, competition, ourName, theirName, time, epochTime, eventName, "
@@ -558,4 +633,14 @@ WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL
 """,
     "label_correlation": over(labels_correlation(), "labelled"),
     "stratified_split": over(split_statement(), "labelled"),
+    "cv_folds": over(folds_statement(), "labelled"),
+    "model_label_totals": over(label_totals_statement(), "labelled"),
+    "nearest_teams": over(NEAREST, "team"),
+    "pca_spectrum": over(SPECTRUM, "team"),
+    "feed_roundtrip": over(
+        "SELECT gameID, competition, ourName, theirName, time, epochTime, eventName, "
+        "byUs, ord, CAST(NULL AS VARCHAR) AS bad_row, " + ", ".join(rounded(c) for c in (
+            "lengthFraction", "widthFraction", "lengthMetres", "widthMetres",
+            "lengthChangeMetres", "distance", "distanceToNextEventMetres", "duration",
+            "direction")) + " FROM feed", "feed"),
 }

@@ -36,21 +36,45 @@ FEED_COLUMNS = FEED_SCHEMA.names
 # --------------------------------------------------------------------------
 # files
 # --------------------------------------------------------------------------
+def write_feed(feed: DataFrame, path: str, sep: str = "|") -> None:
+    """Write a pipe-separated feed whose file order is that of ``ord``.
+
+    Rows are cut into files by ranges of the game and its order, so a game of any
+    size is spread over files that follow each other.  Separators and quotes inside a
+    text are quoted, unknown values are ``NA``.
+    """
+    order = ["gameID", "ord"]
+    (feed.select(*FEED_COLUMNS, "ord").repartitionByRange(*order).sortWithinPartitions(*order)
+     .select(*FEED_COLUMNS).write.mode("overwrite").option("sep", sep).option("header", True)
+     .option("nullValue", "NA").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def read_feed(
-    spark: SparkSession, path: str, sep: str = "|", chunk_rows: int = CHUNK_ROWS
+    spark: SparkSession, path: str, sep: str = "|", chunk_rows: int = CHUNK_ROWS,
+    bad_rows: str | None = None,
 ) -> DataFrame:
     """Scan a pipe-separated feed; file order becomes the explicit ``ord``.
 
     Spark has no row order, so the position is taken from the file name, the
-    byte offset of the split and the row's place in the split.
+    byte offset of the split and the row's place in the split.  With ``bad_rows``,
+    that column has the line of a row that does not fit the schema (what can be read
+    of it is kept, the rest is unknown).
     """
+    schema = T.StructType(list(FEED_SCHEMA.fields))
+    scan = spark.read.option("sep", sep).option("header", True)
+    if bad_rows:
+        schema = schema.add(bad_rows, T.StringType())
+        scan = scan.option("columnNameOfCorruptRecord", bad_rows)
     rows = (
-        spark.read.schema(FEED_SCHEMA).option("sep", sep).option("header", True)
-        .option("nullValue", "NA").csv(path)
+        scan.schema(schema).option("nullValue", "NA").option("escape", '"').csv(path)
         .select("*", F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_line"))
     )
+    if bad_rows:
+        # Lines of bad rows can only be asked for next to other columns of a scan.
+        rows = stage(rows)
     numbered = number_rows(rows, ["gameID"], ["_file", "_block", "_line"],
                            chunk_rows=chunk_rows)
     return numbered.drop("_file", "_block", "_line", "cnt")
