@@ -454,8 +454,8 @@ FROM labelled, range({repeats}) AS t(r)
 
 def label_totals_statement() -> str:
     """Test rows of each label, for every point of the models' grids."""
-    points = [("boosted", f"depth 3 leaf {leaf}", trees) for leaf in (5, 10) for trees in (5, 10)]
-    points += [("forest", f"mtry {m}", 100) for m in (2, 6, 10, 14, 18)]
+    points = [("boosted", "depth 3 leaf 5", trees) for trees in (4, 8)]
+    points += [("forest", f"mtry {m}", 40) for m in (2, 6, 10, 14, 18)]
     values = ", ".join(f"('{m}', '{s}', {t})" for m, s, t in points)
     split = split_statement()
     return split.replace("SELECT gameID, teamName, playByUs, gameDate, \"default\",\n       nth", """
