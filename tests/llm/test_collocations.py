@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import SMALL
 
@@ -88,6 +89,38 @@ def test_common_parts_are_spread(spark, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(frame(spark, docs)).collect())) == plain(docs)
 
 
+def test_windows_are_summed_before_the_rollup(spark):
+    """Tasks hold the same windows: each comes once, and a rare one without its last word."""
+    texts = spark.createDataFrame([("en", "a b c. a b d a b d")] * 8, "lang string, text string")
+    texts = texts.union(spark.createDataFrame([("en", "a b rare")], texts.schema)).repartition(6)
+    every = np.full(collocations.BITS // 64, ~np.uint64(0))
+    got, want, full = Counter(), Counter(), []
+    for lang, *words, f in collocations.longest_windows(texts, every).collect():
+        got[tuple(words)] += f
+        full += [tuple(words)] if words[2] else []
+    for text, f in (("a b c", 8), ("a b d a b d", 8), ("a b rare", 1)):
+        words = text.split()
+        for at in range(len(words)):
+            want[tuple((words[at:at + 3] + [None] * 2)[:3])] += f
+    for words in [w for w in want if want[w] < 10 and w[2]]:
+        want[*words[:2], None] += want.pop(words)
+    assert got == want
+    assert sorted(full) == [("a", "b", "d")] and got["a", "b", "d"] == 16
+
+
+def test_windows_move_packed(spark):
+    """Far fewer bytes than the words of the windows have."""
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang", "text").coalesce(2)
+    every = np.full(collocations.BITS // 64, ~np.uint64(0))
+    rows = collocations.packed_windows(texts, every, 2).collect()
+    moved, plain_ = sum(len(r.data) for r in rows), 0
+    for r in rows:
+        words, columns, times = collocations.unpack(r.size, r.length, r.data)
+        plain_ += 8 * len(times) + sum(len(words[c]) for column in columns for c in column if c >= 0)
+    assert len(rows) <= 2 * 2 * len({r.lang for r in rows})
+    assert 3 * moved < plain_
+
+
 def test_exact_products(spark):
     """Counts whose products pass 64 bits."""
     big = 10 ** 14

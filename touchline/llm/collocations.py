@@ -15,6 +15,12 @@ is padded after its longest marked beginning: the counts of every frequent phras
 stay exact, since all its beginnings are marked.  A wrongly marked phrase (the bitmap
 fills with a very large corpus) only lets more rows through.
 
+Counted windows move packed: a task sums them, deals them by the hash of the whole
+window and sends each range as one compressed row (a list of its words, and planes of
+their numbers and counts).  All of a window meet in one range, are summed there, and
+one of ``LENGTH`` words with fewer than ``LEAST`` occurrences loses its last word (it
+is no phrase that counts, only its beginnings are).  ROLLUP reads these sums.
+
 Counts of parts are joined to the candidates, on keys of which a few may be very
 common: those with a thousandth of all rows (a thousand at most) are broadcast,
 and their rows are spread over ``COPIES`` salted copies.  Ranks are taken in
@@ -32,6 +38,8 @@ Other columns are not read, so clashing names do no harm.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +71,12 @@ PART = (4 << 20) - 64
 #: of hashes.
 HELD = 3 << 20
 RANGE_BYTES = 8 << 20
+#: Ranges of hashes that share one range of windows, and the most ranges of windows
+#: (so that what a task sends to one stays long enough to be packed).
+SHARED = 4
+MOST_RANGES = 1 << 10
+#: Packed rows that are handed to Spark at once.
+PACKED = 256
 COPIES = 64
 #: Keys with at least one of so many rows are common (so there are no more of them).
 COMMON = 1_000
@@ -146,6 +160,14 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
+def sums(keys: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their sums of ``f``."""
+    order = np.argsort(keys)
+    keys, f = keys[order], f[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)])
+    return keys[starts], np.add.reduceat(f, starts) if len(starts) else f
+
+
 def window_keys(columns: list[np.ndarray]) -> np.ndarray:
     """The codes of a window side by side (0 where padded)."""
     key = np.zeros(len(columns[0]), np.uint64)
@@ -182,7 +204,7 @@ def bit_numbers(hashed: np.ndarray) -> np.ndarray:
     return hashed >> np.uint64(65 - BITS.bit_length())
 
 
-def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
+def frequent_bits(texts: DataFrame, least: int, ranges: int) -> np.ndarray:
     """The bitmap of the hashes of phrases with ``least`` occurrences.
 
     Hashes travel sorted and packed, a row for each range that a task has any in:
@@ -190,16 +212,10 @@ def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
     change, so they compress), and counts, held at ``least``.  Equal hashes of
     different phrases only let more windows through.
     """
-    range_bits = ranges_for(texts).bit_length() - 1
+    range_bits = ranges.bit_length() - 1
     shift, low = np.uint64(64 - range_bits), np.uint64(32 - range_bits)
     kind = np.uint8 if least < 256 else np.uint32
 
-    def sums(value: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(value)
-        value, f = value[order], f[order]
-        starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))[:len(value)])
-        return value[starts], np.add.reduceat(f, starts) if len(starts) else f
-
     def dealt(found):
         value, f = sums(*(np.concatenate(x) for x in zip(*found)))
         of, rest = value >> shift, (value >> low).astype(">u4")
@@ -260,32 +276,137 @@ def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
     return frames.bitmap(rows, BITS)
 
 
-def longest_windows(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """lang, w1, w2, w3, f: the windows of a task, counted, without the words that
-    no frequent phrase of theirs can have."""
+def pooled(found: Iterator[tuple[bytes, list[bytes], list[np.ndarray], np.ndarray]]
+           ) -> Iterator[tuple[bytes, list[bytes], np.ndarray, np.ndarray, bool]]:
+    """Windows of many parts, summed by language: language, words, keys, counts, and
+    whether this is all there is.  About ``HELD`` of them are held at a time."""
+    codes: dict[bytes, dict[bytes, int]] = {}
+    held: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size, whole = 0, True
+
+    def out():
+        for lang, some in held.items():
+            yield lang, list(codes[lang]), *sums(*(np.concatenate(x) for x in zip(*some))), whole
+
+    for lang, words, columns, times in found:
+        if size >= HELD or len(codes.get(lang, ())) + len(words) >= (1 << CODE) - 1:
+            whole = False
+            yield from out()
+            codes, held, size = {}, {}, 0
+        known = codes.setdefault(lang, {})
+        code = np.array([*(known.setdefault(x, len(known)) for x in words), -1])
+        held.setdefault(lang, []).append((window_keys([code[c] for c in columns]), times))
+        size += len(times)
+    yield from out()
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def values_of(data: bytes, kind: str, size: int, at: int) -> np.ndarray:
+    kind = np.dtype(kind)
+    found = np.frombuffer(data, np.uint8, size * kind.itemsize, at)
+    return found.reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
+
+
+def numbered(words: list[bytes], columns: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """The words that columns have (padding as an empty one, first), and their places there."""
+    used, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return [words[c] if c >= 0 else b"" for c in used], at.reshape(LENGTH, -1)
+
+
+def pack(words: list[bytes], columns: list[np.ndarray], times: np.ndarray) -> tuple[int, int, bytes]:
+    """Windows and their counts as number of windows, bytes, compressed bytes."""
+    used, at = numbered(words, columns)
+    data = planes(at.ravel().astype("<u4")) + planes(times.astype("<i8")) + b" ".join(used)
+    return len(times), len(data), pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(size: int, length: int, data: bytes) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """Words, lead columns and counts of packed windows."""
+    data = pa.decompress(data, length, "zstd", asbytes=True)
+    at = values_of(data, "<u4", LENGTH * size, 0).astype(np.int64).reshape(LENGTH, -1)
+    times = values_of(data, "<i8", size, 4 * LENGTH * size)
+    words = data[(4 * LENGTH + 8) * size:].split(b" ")
+    padded = not words[0]
+    return words[padded:], list(at - padded), times
+
+
+def packed_windows(texts: DataFrame, bits: np.ndarray, ranges: int) -> DataFrame:
+    """range, lang, size, length, data: the windows of a task, counted, without the
+    words that no frequent phrase of theirs can have; a row for each range of hashes."""
     model = texts.sparkSession.sparkContext.broadcast(bits)
+    shift = np.uint64(65 - ranges.bit_length())
 
     def marked(hashed: np.ndarray) -> np.ndarray:
         return frames.has_bits(model.value, bit_numbers(hashed))
 
-    def work(batches):
+    def shown(batches):
         for lang, words, columns in windows(batches):
             h = hashes_of(lang, words)
             hashed, kept = h[columns[0]], marked(h)[columns[0]]
-            shown = [np.where(kept, columns[0], -1)]
+            left = [np.where(kept, columns[0], -1)]
             for column in columns[1:]:
                 kept = kept & (column >= 0)
                 hashed = joined_hashes(hashed, h[column])
                 kept[kept] = marked(hashed[kept])
-                shown.append(np.where(kept, column, -1))
-            keys, times = runs(window_keys(shown))
-            text = pa.array(words, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.binary()).cast(pa.string()).take(np.zeros(len(keys), int)),
-                 *(text.take(pa.array(c, mask=c < 0)) for c in codes_of(keys, LENGTH)),
-                 pa.array(times)], ["lang", *NAMES, "f"])
+                left.append(np.where(kept, column, -1))
+            keys, times = runs(window_keys(left))
+            used, at = numbered(words, codes_of(keys, LENGTH))
+            padded = not used[0]
+            yield lang, used[padded:], list(at - padded), times
 
-    return texts.mapInArrow(work, "lang string, w1 string, w2 string, w3 string, f long")
+    def work(batches):
+        for lang, words, keys, times, _ in pooled(shown(batches)):
+            columns, h = codes_of(keys, LENGTH), hashes_of(lang, words)
+            hashed = h[columns[0]]
+            for column in columns[1:]:
+                hashed = joined_hashes(hashed, h[column])
+            of = hashed >> shift
+            order = np.argsort(of, kind="stable")
+            of, times, columns = of[order], times[order], [c[order] for c in columns]
+            edges = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of))
+            for at in range(0, len(edges) - 1, PACKED):
+                some = list(zip(edges[at:at + PACKED], edges[at + 1:at + PACKED + 1]))
+                size, length, data = zip(*(
+                    pack(words, [c[x:y] for c in columns], times[x:y]) for x, y in some))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(of[x]) for x, _ in some]),
+                     pa.array([lang] * len(some), pa.binary()).cast(pa.string()),
+                     pa.array(size), pa.array(length), pa.array(data, pa.binary())],
+                    ["range", "lang", "size", "length", "data"])
+
+    return texts.mapInArrow(work, "range long, lang string, size long, length long, data binary")
+
+
+def longest_windows(texts: DataFrame, bits: np.ndarray, ranges: int = 16,
+                    least: int = LEAST) -> DataFrame:
+    """lang, w1, w2, w3, f: the counted windows, each summed in the range it is dealt to.
+
+    A window of ``LENGTH`` words with fewer than ``least`` occurrences loses the last one.
+    """
+    last = np.uint64((1 << CODE) - 1)
+
+    def work(batches):
+        rows = (row for batch in batches for row in zip(
+            *(frames.texts(batch, c) if c == "lang" else batch.column(c).to_pylist()
+              for c in batch.schema.names)))
+        for _, some in groupby(rows, itemgetter(0)):
+            for lang, words, keys, times, whole in pooled(
+                    (lang, *unpack(*packed)) for _, lang, *packed in some):
+                if whole:
+                    keys, times = sums(np.where((times < least) & (keys & last > 0),
+                                                keys & ~last, keys), times)
+                text = pa.array(words, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.binary()).cast(pa.string()).take(np.zeros(len(keys), int)),
+                     *(text.take(pa.array(c, mask=c < 0)) for c in codes_of(keys, LENGTH)),
+                     pa.array(times)], ["lang", *NAMES, "f"])
+
+    return (packed_windows(texts, bits, ranges).repartition("range").sortWithinPartitions("range")
+            .mapInArrow(work, "lang string, w1 string, w2 string, w3 string, f long"))
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text",
@@ -294,14 +415,15 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text",
     has the number of words of the language."""
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"),
                         F.col(f"`{text}`").cast("string").alias("text"))
-    longest = longest_windows(texts, frequent_bits(texts, least))
-    sums = (longest.groupBy("lang", *NAMES).agg(F.sum("f").alias("f"))
-            .rollup("lang", *NAMES).agg(F.sum("f").alias("f"),
-                                        F.grouping_id("lang", *NAMES).alias("level")))
+    ranges = ranges_for(texts)
+    longest = longest_windows(texts, frequent_bits(texts, least, ranges),
+                              min(max(ranges // SHARED, 16), MOST_RANGES), least)
+    rolled = longest.rollup("lang", *NAMES).agg(
+        F.sum("f").alias("f"), F.grouping_id("lang", *NAMES).alias("level"))
     # A prefix that ends in padding is not a phrase: its level is dropped.
     size = LENGTH - F.bit_count("level")
     whole = F.array_size(F.array_compact(F.array(*NAMES))) == F.col("size")
-    return (sums.filter(F.col("level") < (1 << LENGTH)).withColumn("size", size)
+    return (rolled.filter(F.col("level") < (1 << LENGTH)).withColumn("size", size)
             .filter(whole & ((F.col("size") == 0) | (F.col("f") >= least)))
             .select("lang", "size", F.concat_ws(" ", *NAMES).alias("phrase"), "f"))
 
