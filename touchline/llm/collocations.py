@@ -75,8 +75,9 @@ RANGE_BYTES = 8 << 20
 #: (so that what a task sends to one stays long enough to be packed).
 SHARED = 4
 MOST_RANGES = 1 << 10
-#: Packed rows that are handed to Spark at once.
+#: Packed rows, and windows, that are handed to Spark at once.
 PACKED = 256
+UNPACKED = 1 << 17
 COPIES = 64
 #: Keys with at least one of so many rows are common (so there are no more of them).
 COMMON = 1_000
@@ -360,18 +361,19 @@ def packed_windows(texts: DataFrame, bits: np.ndarray, ranges: int) -> DataFrame
 
     def work(batches):
         for lang, words, keys, times, _ in pooled(shown(batches)):
-            columns, h = codes_of(keys, LENGTH), hashes_of(lang, words)
-            hashed = h[columns[0]]
-            for column in columns[1:]:
-                hashed = joined_hashes(hashed, h[column])
+            h = hashes_of(lang, words)
+            hashed, *others = (h[c] for c in codes_of(keys, LENGTH))
+            for following in others:
+                hashed = joined_hashes(hashed, following)
             of = hashed >> shift
+            del hashed, others
             order = np.argsort(of, kind="stable")
-            of, times, columns = of[order], times[order], [c[order] for c in columns]
+            of, keys, times = of[order], keys[order], times[order]
             edges = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of))
             for at in range(0, len(edges) - 1, PACKED):
                 some = list(zip(edges[at:at + PACKED], edges[at + 1:at + PACKED + 1]))
                 size, length, data = zip(*(
-                    pack(words, [c[x:y] for c in columns], times[x:y]) for x, y in some))
+                    pack(words, codes_of(keys[x:y], LENGTH), times[x:y]) for x, y in some))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(of[x]) for x, _ in some]),
                      pa.array([lang] * len(some), pa.binary()).cast(pa.string()),
@@ -400,10 +402,13 @@ def longest_windows(texts: DataFrame, bits: np.ndarray, ranges: int = 16,
                     keys, times = sums(np.where((times < least) & (keys & last > 0),
                                                 keys & ~last, keys), times)
                 text = pa.array(words, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.binary()).cast(pa.string()).take(np.zeros(len(keys), int)),
-                     *(text.take(pa.array(c, mask=c < 0)) for c in codes_of(keys, LENGTH)),
-                     pa.array(times)], ["lang", *NAMES, "f"])
+                name = pa.array([lang], pa.binary()).cast(pa.string())
+                for at in range(0, len(keys), UNPACKED):
+                    some_keys = keys[at:at + UNPACKED]
+                    yield pa.RecordBatch.from_arrays(
+                        [name.take(np.zeros(len(some_keys), int)),
+                         *(text.take(pa.array(c, mask=c < 0)) for c in codes_of(some_keys, LENGTH)),
+                         pa.array(times[at:at + UNPACKED])], ["lang", *NAMES, "f"])
 
     return (packed_windows(texts, bits, ranges).repartition("range").sortWithinPartitions("range")
             .mapInArrow(work, "lang string, w1 string, w2 string, w3 string, f long"))
