@@ -104,6 +104,13 @@ def beside(monkeypatch):
     meeting(monkeypatch, 2, (boosting, "fit_boosted"), (forests, "grow_forests"))
 
 
+def test_importance_of_both_models(monkeypatch, spark):
+    rows = table(spark, PREDICTORS)
+    alone = models.importance(rows, PLAN).collect()
+    beside(monkeypatch)
+    assert models.importance(rows, PLAN).collect() == alone
+
+
 def test_predictions_of_both_models(monkeypatch, spark):
     rows = table(spark, PREDICTORS)
     alone = models.all_predictions(rows, PLAN)
