@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from touchline.functions.constants import PREDICTORS
 from touchline.operators import boosting, classify, forests, slices
@@ -120,3 +121,16 @@ def test_predictions_of_both_models(monkeypatch, spark):
     # Whatever is counted from them.
     for of in (models.confusion, models.label_totals):
         assert sorted(of(found).collect()) == sorted(of(alone).collect())
+
+
+def test_label_totals_of_both_models(monkeypatch, spark):
+    """Every test row once a point, with the ones that no model can score."""
+    rows = table(spark, PREDICTORS).withColumn(
+        PREDICTORS[0], F.when(F.col("gameID").rlike("[1-4]$"), F.col(PREDICTORS[0])))
+    beside(monkeypatch)
+    totals = models.label_totals(models.all_predictions(rows, PLAN)).collect()
+    want = {r.label: r["count"] for r in models.split_rows(rows).filter("NOT in_train").groupBy(
+        F.col("default").alias("label")).count().collect()}
+    points = {(r.model, r.setting, r.trees) for r in totals}
+    assert len(points) == 3 and len(totals) == 3 * len(want)
+    assert all(r.n == want[r.label] for r in totals)
